@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, leakage, packing, splitting, truncation, vocab
+from . import encoding, leakage, packing, secrets, splitting, truncation, vocab
 from .base import table
 
 
@@ -82,3 +82,22 @@ SQL = {
         SELECT file_id FROM source_text
         WHERE (length(text) + 3) // 4 > (SELECT max_tokens FROM size_limits WHERE purpose = 'chunk')""",
 }
+
+
+def p4_credentials(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.find_credentials(table(spark, folder, "source_text"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p4_credentials(spark, folder).select("file_id", "line_no")
+
+
+def p4_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.redact(table(spark, folder, "source_text"))
+
+
+def p4_index(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.trigram_index(table(spark, folder, "source_text"))
+
+
+QUERIES |= {f.__name__: f for f in (p4_found, p4_credentials, p4_redacted, p4_index)}
