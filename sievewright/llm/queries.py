@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, leakage, packing, secrets, splitting, truncation, vocab
+from . import encoding, handwritten, leakage, packing, secrets, splitting, truncation, vocab
 from .base import table
 
 
@@ -101,3 +101,14 @@ def p4_index(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (p4_found, p4_credentials, p4_redacted, p4_index)}
+
+
+def p1_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    return handwritten.find_machine_made(table(spark, folder, "source_text"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p1_kinds(spark, folder).select("file_id")
+
+
+QUERIES |= {f.__name__: f for f in (p1_found, p1_kinds)}

@@ -92,7 +92,7 @@ def usable(value: str, detector: str) -> bool:
             return False
         if detector == "remark" and (not re.search(r"\d", v) and kinds < 3 or kinds < 2 or "/" in v and re.search(r"\.\w{1,5}$", v)):
             return False
-        if re.search(r"\w\(|\)\.|;$|::|->", v):
+        if re.search(r"\w\(|\)\.|;$|::|->|=>|^[(\[{]", v):
             return False
     return kinds >= 2 and len(set(v)) > 4
 
