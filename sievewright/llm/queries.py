@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, handwritten, leakage, packing, secrets, splitting, truncation, vocab
+from . import encoding, handwritten, leakage, packing, parsing, secrets, splitting, truncation, vocab
 from .base import table
 
 
@@ -112,3 +112,18 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (p1_found, p1_kinds)}
+
+
+def p3_parsed(spark: SparkSession, folder: str) -> DataFrame:
+    return parsing.parse_files(table(spark, folder, "source_text"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_parsed(spark, folder).where("not accepted").select("file_id")
+
+
+def p3_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return parsing.rates(table(spark, folder, "source_text"))
+
+
+QUERIES |= {f.__name__: f for f in (p3_found, p3_parsed, p3_rates)}
