@@ -17,7 +17,7 @@ class CSharp(Parser):
     lexer = re.compile(
         r"(?:\s+|//[^\n]*|(?s:/\*.*?\*/)|#[ \t]*(?:region|endregion|if|else|elif|endif|pragma|nullable|define|undef|line|warning|error)\b[^\n]*)*+"
         r"(@?(?:[^\W\d])\w*|\d(?:\.(?=\d)|\w|(?<=[eE])[+-])*|\.\d(?:\w|(?<=[eE])[+-])*"
-        r"|\$*\"\"\"(?!\")(?s:.*?)\"\"\"|(?:@\$|\$@)\"(?:\"\"|[^\"])*\"|@\"(?:\"\"|[^\"])*\"|\$\"(?:\\.|\{\{|\}\}|\{[^{}\"\n]*(?:\"(?:\\.|[^\"\\\n])*\"[^{}\"\n]*|\{[^{}\n]*\}[^{}\"\n]*)*\}|[^\"\\{}\r\n])*\"|\"(?:\\[abefnrtv0'\"\\xuU]|[^\"\\\r\n])*\"(?:u8)?|'(?:\\(?:u[0-9a-fA-F]{4}|x[0-9a-fA-F]{1,4}|U[0-9a-fA-F]{8}|[abefnrtv0'\"\\])|[^'\\\r\n]{1,2})'"
+        r"|\$*\"\"\"(?!\")(?s:.*?)\"\"\"|(?:@\$|\$@)\"(?:\"\"|[^\"])*\"|@\"(?:\"\"|[^\"])*\"|\$\"(?:\\.|\{\{|\}\}|\{[^{}\"\n]*(?:\"(?:\\.|[^\"\\\n])*\"[^{}\"\n]*|\{[^{}\n]*\}[^{}\"\n]*)*\}|[^\"\\{}\r\n])*\"|\"(?:\\[abefnrtv0'\"\\xuU]|[^\"\\\r\n])*\"(?:u8)?|'(?:\\(?:u[0-9a-fA-F]{4}|x[0-9a-fA-F]{1,4}|U[0-9a-fA-F]{8}|[abefnrtv0'\"\\])|[^'\\\r\n])'"
         r"|/\*|=>|\.\.|->|::|\+\+|--|&&|\|\||\?\?=?|\?\.(?!\d)|[=!<>+\-*/%&|^]=|<<=?|\S|\Z)"
     )
     binary = _C_BINARY | {"??": 2, "is": 9, "as": 9, "..": 16, "switch": 17, "with": 17}

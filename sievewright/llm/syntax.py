@@ -73,6 +73,7 @@ class Parser:
         self.i = 0
         self.errors: list[tuple[int, str]] = []
         self.depth = 0
+        self.names: list[str | None] = [None]  # the types that the place lies in
 
     # ---------------------------------------------------------------- tools
 
@@ -290,7 +291,7 @@ class Java(Parser):
     modifiers = frozenset("public protected private static abstract final native synchronized transient volatile strictfp default sealed".split())
     number = re.compile(r"0[xX][0-9a-fA-F](?:[0-9a-fA-F_]*[0-9a-fA-F])?[lL]?|0[bB][01](?:[01_]*[01])?[lL]?|(?:\d[\d_]*)?\.?\d[\d_]*\.?(?:[eE][+-]?\d+)?[fFdDlL]?|\d[\d_]*\.(?:[eE][+-]?\d+)?[fFdD]?")
     lexer = re.compile(
-        _C_SKIP + r"((?:[^\W\d]|\$)[\w$]*|\d(?:[\w.]|(?<=[eE])[+-])*|\.\d(?:\w|(?<=[eE])[+-])*|\"\"\"[ \t\f]*\r?\n(?s:(?:\\.|[^\\])*?)\"\"\"|\"(?:\\[btnfrs\"'\\0-7u]|[^\"\\\r\n])*\"|'(?:\\(?:u+[0-9a-fA-F]{4}|[0-7]{1,3}|[btnfrs\"'\\])|[^'\\\r\n]{1,2})'"
+        _C_SKIP + r"((?:[^\W\d]|\$)[\w$]*|\d(?:[\w.]|(?<=[eE])[+-])*|\.\d(?:\w|(?<=[eE])[+-])*|\"\"\"[ \t\f]*\r?\n(?s:(?:\\.|[^\\])*?)\"\"\"|\"(?:\\[btnfrs\"'\\0-7u]|[^\"\\\r\n])*\"|'(?:\\(?:u+[0-9a-fA-F]{4}|[0-7]{1,3}|[btnfrs\"'\\])|[^'\\\r\n])'"
         r"|/\*|\.\.\.|->|::|\+\+|--|&&|\|\||[=!<>+\-*/%&|^]=|<<=?|\S|\Z)"
     )
     binary = _C_BINARY | {"instanceof": 9}
@@ -314,6 +315,8 @@ class Java(Parser):
         if at == "import":
             self.maybe("static")
         self.name()
+        if at == "import" and self.t[self.i] != ".":
+            self.fail()
         while self.maybe("."):
             if at == "import" and self.maybe("*"):
                 break
@@ -375,7 +378,12 @@ class Java(Parser):
                 k -= 1
             word = self.t[k]
         self.word = None
+        k = self.i
+        while self.t[k] != word or not self.is_name(k + 1 - self.i):
+            k -= 1
+        self.names.append(self.tokens[k + 1])
         self.body(word == "enum")
+        self.names.pop()
 
     word: str | None = None
 
@@ -469,11 +477,14 @@ class Java(Parser):
         if self.t[self.i] == "<":
             self.type_parameters()
         method = False
-        if self.is_name() and self.t[self.i + 1] == "{":  # a record's compact constructor
+        made = self.is_name() and self.t[self.i + 1] in ("(", "{")
+        if made and self.tokens[self.i] != self.names[-1]:
+            self.fail("a method without a type")
+        if made and self.t[self.i + 1] == "{":  # a record's compact constructor
             self.i += 1
             method = True
         else:
-            if self.is_name() and self.t[self.i + 1] == "(":
+            if made:
                 self.i += 1
             else:
                 if not self.maybe("void"):
@@ -491,7 +502,7 @@ class Java(Parser):
                     self.element()
         if method:
             if self.t[self.i] == "{":
-                if m and self.i == m.end() - 1:
+                if m and self.i == m.end() - 1 and not made:
                     self.good.add(("method", m.group()))
                 self.block()
                 return
@@ -499,7 +510,7 @@ class Java(Parser):
         else:
             self.declarators()
             self.take(";")
-        if m and self.i == m.end():
+        if m and self.i == m.end() and not made:
             self.good.add(("member", m.group()))
 
     def dims(self) -> None:
@@ -540,7 +551,10 @@ class Java(Parser):
             else:
                 self.name()
                 while self.maybe("."):
-                    self.maybe("this") or self.name()
+                    if self.t[self.i + 1] == ".":
+                        self.name()
+                    else:
+                        self.take("this")
             self.dims()
             if self.maybe(")"):
                 return
@@ -707,6 +721,22 @@ class Java(Parser):
     def effect(self, start: int) -> bool:
         """An expression that stands alone must assign, call, count or create."""
         last, first = self.t[self.i - 1], self.t[start]
+        if first in ("+", "-", "!", "~"):
+            return False
+        depth, angles = 0, 0
+        for k in self.t[start : self.i]:
+            if k in ("(", "[", "{"):
+                depth += 1
+            elif k in (")", "]", "}"):
+                depth -= 1
+            elif depth == 0:
+                if k in self.assign or k == ">=" or k == "->":
+                    break
+                angles += (k == "<") - (k == ">")
+                if k in self.binary and k not in ("<", ">"):
+                    return False
+        if angles:
+            return False
         if last in (")", "++", "--") and first != "(" or first in ("++", "--", "new") or first == "(" and last == ")":
             return True
         depth = 0
@@ -962,7 +992,9 @@ class Java(Parser):
             return
         self.arguments()
         if self.t[self.i] == "{":
+            self.names.append(None)
             self.body()
+            self.names.pop()
 
 
 class Json(Parser):
