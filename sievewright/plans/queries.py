@@ -1,6 +1,445 @@
-"""Queries of the core and the SQL that states the same."""
+"""Queries of the core over whole tables, each with the SQL that states the same where SQL can."""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..config import SearchConfig
+from ..functions import text as X
+from ..functions.arrow import materialize, table
+from ..functions.tokens import token_count, token_count_regex, truncate, was_truncated
+from ..operators import cache as caching
+from ..operators.judge import LexicalJudge, terms
+from ..operators.outline import chunked, outlines
+from ..operators.packing import pack, with_singletons
+from ..operators.relational import not_within, ordered_concat, sample_exactly, sorted_concat, survivors
+from ..sources.scan import as_files, existing, missing
+from . import pipeline, prompts
+
+QUESTION = "Where does the constructor wire a session into the adapter, and which resolver checks the deadline?"
+PACK_LIMIT = 2000
+
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def digest(c: Column) -> Column:
+    return F.md5(F.coalesce(c, F.lit("")))
+
+
+# ---------------------------------------------------------------- scans and filters
+
+
+@query("SELECT file_path AS path, file_id AS ord, md5(coalesce(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '')) AS text_md5, length(regexp_replace(text, '\\r\\n?', chr(10), 'g')) AS n FROM source_text")
+def scan_files(spark: SparkSession, folder: str) -> DataFrame:
+    files = as_files(table(spark, folder, "source_text"))
+    return files.select("path", "ord", digest(F.col("text")).alias("text_md5"), F.length("text").cast("bigint").alias("n"))
+
+
+def _paths(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, folder, "documents").select(F.col("file_path").alias("path"), "doc_id"), table(spark, folder, "source_text").select(F.col("file_path").alias("path"))
+
+
+@query("SELECT file_path AS path, doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM source_text s WHERE s.file_path = d.file_path)")
+def path_exists_semi(spark: SparkSession, folder: str) -> DataFrame:
+    return existing(*_paths(spark, folder))
+
+
+@query("SELECT file_path AS path, doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM source_text s WHERE s.file_path = d.file_path)")
+def path_missing_anti(spark: SparkSession, folder: str) -> DataFrame:
+    return missing(*_paths(spark, folder))
+
+
+@query(r"SELECT lower(regexp_extract(file_path, '[^/.](\.[^./]+)$', 1)) AS suffix, coalesce(lower(regexp_extract(file_path, '[^/.](\.[^./]+)$', 1)) IN ('.java', '.py', '.cs'), false) AS parseable, count(*) AS n FROM source_text GROUP BY 1, 2")
+def suffix_dispatch(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "source_text")
+    return rows.groupBy(X.suffix(F.col("file_path")).alias("suffix"), X.parseable(F.col("file_path")).alias("parseable")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT file_path AS path, file_id AS ord, 'other' AS side FROM source_text")
+def skip_skeleton_branch(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "source_text").select(F.col("file_path").alias("path"), F.col("file_id").alias("ord"), F.lit("other").alias("side"))
+
+
+@query("SELECT file_id, file_path FROM source_text ORDER BY md5('7:' || CAST(file_id AS VARCHAR)), file_id LIMIT 100")
+def sample_exact_n(spark: SparkSession, folder: str) -> DataFrame:
+    return sample_exactly(table(spark, folder, "source_text").select("file_id", "file_path"), 100, 7, "file_id")
+
+
+@query("""SELECT q.cache_key, q.path, r.seq FROM (SELECT DISTINCT cache_key, path FROM requests WHERE path IS NOT NULL) q
+    JOIN responses r ON r.cache_key = q.cache_key WHERE contains(r.response, q.path)""")
+def substring_survivors(spark: SparkSession, folder: str) -> DataFrame:
+    answers = table(spark, folder, "responses").select("cache_key", "seq", F.col("response").alias("answer"))
+    members = table(spark, folder, "requests").select("cache_key", "path").where("path is not null").distinct()
+    joined = members.join(answers, "cache_key").where(F.contains("answer", "path"))
+    return joined.select("cache_key", "path", "seq")
+
+
+@query("SELECT source, count(*) AS n, CAST(sum(length(response)) AS BIGINT) AS chars FROM responses WHERE regexp_matches(response, '[^ \\t\\n\\x0B\\f\\r]') GROUP BY source")
+def not_blank_answers(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "responses").where(~X.is_blank(F.col("response")))
+    return rows.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("response")).alias("chars"))
+
+
+@query("SELECT file_id, (length(text) + 3) // 4 AS t FROM source_text WHERE (length(text) + 3) // 4 > 4000")
+def oversize_split(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "source_text").select("file_id", token_count(F.col("text")).cast("bigint").alias("t"))
+    return rows.where("t > 4000")
+
+
+# ---------------------------------------------------------------- tokens
+
+
+@query("SELECT file_id, coalesce((length(text) + 3) // 4, 0) AS t FROM source_text")
+def token_count_chars(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "source_text").select("file_id", token_count(F.col("text")).cast("bigint").alias("t"))
+
+
+@query(r"SELECT file_id, CAST(coalesce(len(regexp_extract_all(text, '\w+|[^\w\s]')), 0) AS BIGINT) AS t FROM source_text")
+def token_count_words(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "source_text").select("file_id", token_count_regex(F.col("text")).cast("bigint").alias("t"))
+
+
+@query("SELECT doc_id, md5(coalesce(substring(text, 1, 1200), '')) AS cut_md5, coalesce((length(text) + 3) // 4 > 300, false) AS was_truncated FROM documents")
+def truncate_budget(spark: SparkSession, folder: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, folder, "documents").select("doc_id", digest(truncate(t, 300)).alias("cut_md5"), was_truncated(t, 300).alias("was_truncated"))
+
+
+# ---------------------------------------------------------------- packing
+
+_SIZED = "SELECT doc_id, coalesce((length(text) + 3) // 4, 0) AS t FROM documents"
+_NEXT_FIT = f"""WITH RECURSIVE sized AS ({_SIZED}), small AS (SELECT doc_id, t, row_number() OVER (ORDER BY doc_id) AS k FROM sized WHERE t <= {PACK_LIMIT}),
+    fit AS (SELECT k, doc_id, t, t AS held, CAST(0 AS BIGINT) AS group_id FROM small WHERE k = 1
+    UNION ALL SELECT s.k, s.doc_id, s.t, CASE WHEN f.held + s.t > {PACK_LIMIT} THEN s.t ELSE f.held + s.t END, f.group_id + CASE WHEN f.held + s.t > {PACK_LIMIT} THEN 1 ELSE 0 END
+    FROM fit f JOIN small s ON s.k = f.k + 1)"""
+
+
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "documents").select("doc_id", token_count(F.col("text")).alias("size"))
+    return pack(rows, ["doc_id"], F.col("size"), PACK_LIMIT).drop("size")
+
+
+@query(f"{_NEXT_FIT} SELECT doc_id, t, group_id FROM fit")
+def pack_next_fit(spark: SparkSession, folder: str) -> DataFrame:
+    return _packed(spark, folder).where("not is_large").select("doc_id", "t", "group_id")
+
+
+@query(f"{_NEXT_FIT} SELECT doc_id, t, false AS alone FROM fit UNION ALL SELECT doc_id, t, true FROM sized WHERE t > {PACK_LIMIT}")
+def pack_with_singletons(spark: SparkSession, folder: str) -> DataFrame:
+    return with_singletons(_packed(spark, folder), ["doc_id"]).select("doc_id", "t", (F.col("group_id") < 0).alias("alone"))
+
+
+@query(f"{_NEXT_FIT} SELECT group_id, CAST(sum(t) AS BIGINT) AS tokens, count(*) AS n FROM fit GROUP BY group_id")
+def pack_group_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    return _packed(spark, folder).where("not is_large").groupBy("group_id").agg(F.sum("t").alias("tokens"), F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- chunks and structure
+
+
+def _lines(df: DataFrame) -> DataFrame:
+    return df.select("file_id", F.posexplode(F.split(X.universal_newlines(F.col("text")), "\n")).alias("pos", "line"))
+
+
+@query("""SELECT file_id, CAST(generate_subscripts(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)), 1) - 1 AS INTEGER) AS chunk_no,
+    md5(unnest(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)))) AS line_md5 FROM source_text WHERE text IS NOT NULL""")
+def flatten_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return _lines(table(spark, folder, "source_text")).select("file_id", F.col("pos").alias("chunk_no"), F.md5("line").alias("line_md5"))
+
+
+@query("""WITH l AS (SELECT file_id, unnest(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10))) AS line FROM source_text WHERE text IS NOT NULL)
+    SELECT file_id, CAST(sum(length(regexp_extract(line, '^[ \\t]*'))) AS BIGINT) AS blanks, max(length(regexp_extract(line, '^[ \\t]*'))) AS deepest FROM l GROUP BY file_id""")
+def indent_of_line(spark: SparkSession, folder: str) -> DataFrame:
+    n = F.length(X.indentation(F.col("line")))
+    return _lines(table(spark, folder, "source_text")).groupBy("file_id").agg(F.sum(n).alias("blanks"), F.max(n).cast("bigint").alias("deepest"))
+
+
+@query("SELECT doc_id, hex(encode(text))[1:64] AS first_bytes, octet_length(encode(text)) AS n_bytes FROM documents")
+def byte_slice(spark: SparkSession, folder: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, folder, "documents").select("doc_id", F.hex(X.byte_slice(t, 0, 32)).alias("first_bytes"), F.octet_length(t).cast("bigint").alias("n_bytes"))
+
+
+@query("""SELECT file_id, coalesce((length(head) + 3) // 4, 0) AS head_tokens, (length(head) + 3) // 4 <= 250 AND head <> '' AS head_used,
+    CASE WHEN (length(head) + 3) // 4 <= 250 AND head <> '' THEN 500 - (length(head) + 3) // 4 ELSE 500 END AS body_budget
+    FROM (SELECT file_id, regexp_extract(text, '^[^{]*') AS head FROM source_text WHERE text IS NOT NULL)""")
+def chunk_head_budget(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "source_text").where("text is not null").select("file_id", F.regexp_extract("text", "^[^{]*", 0).alias("head"))
+    t = token_count(F.col("head")).cast("bigint")
+    used = (t <= 250) & (F.col("head") != "")
+    return rows.select("file_id", t.alias("head_tokens"), used.alias("head_used"), F.when(used, 500 - t).otherwise(F.lit(500).cast("bigint")).alias("body_budget"))
+
+
+@query("""SELECT file_path, md5(string_agg('head' || chr(10) || chr(10) || coalesce(text, '') || chr(10) || repeat('}', 2), chr(10) ORDER BY file_id)) AS rendered_md5 FROM source_text GROUP BY file_path""")
+def chunk_render(spark: SparkSession, folder: str) -> DataFrame:
+    piece = F.concat(F.lit("head\n\n"), F.coalesce("text", F.lit("")), F.lit("\n"), F.repeat(F.lit("}"), F.lit(2)))
+    joined = ordered_concat(table(spark, folder, "source_text"), "file_path", ["file_id"], piece, "\n")
+    return joined.select("file_path", F.md5("text").alias("rendered_md5"))
+
+
+_SPANS = [("a", "class", 0, 100), ("a", "method", 10, 30), ("a", "class", 40, 90), ("a", "field", 45, 50), ("a", "method", 100, 120), ("b", "method", 0, 50), ("b", "method", 10, 20), ("b", "enum", 60, 80), ("b", "field", 60, 80), ("c", "class", 5, 6)]
+_VALUES = ", ".join(f"('{p}', '{k}', {a}, {b})" for p, k, a, b in _SPANS)
+
+
+@query(f"""WITH s AS (SELECT * FROM (VALUES {_VALUES}) v(path, type, "start", "end"))
+    SELECT path, type, "start", "end" FROM s b WHERE NOT EXISTS (SELECT 1 FROM s a WHERE a.path = b.path AND a.type IN ('class', 'interface', 'enum') AND a."start" <= b."start" AND b."end" <= a."end" AND NOT (a.type = b.type AND a."start" = b."start" AND a."end" = b."end"))""")
+def containment_antijoin(spark: SparkSession, folder: str) -> DataFrame:
+    spans = spark.createDataFrame(_SPANS, "path string, type string, start int, end int")
+    rank = F.when(F.col("type").isin("class", "interface", "enum"), F.concat(F.lit("z"), "type")).otherwise(F.col("type"))
+    return not_within(spans.withColumn("type", rank), F.col("type").startswith("z")).select("path", F.regexp_replace("type", "^z", "").alias("type"), "start", "end")
+
+
+@query(f"""WITH s AS (SELECT * FROM (VALUES {_VALUES}) v(path, type, "start", "end"))
+    SELECT path, type, "start", CAST(row_number() OVER (PARTITION BY path ORDER BY "start", "end", type) AS INTEGER) AS place FROM s""")
+def stable_sort_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    spans = spark.createDataFrame(_SPANS, "path string, type string, start int, end int")
+    return spans.select("path", "type", "start", F.row_number().over(Window.partitionBy("path").orderBy("start", "end", "type")).alias("place"))
+
+
+def _of_language(spark: SparkSession, folder: str, extension: str) -> DataFrame:
+    return table(spark, folder, "source_text").where(X.suffix(F.col("file_path")) == extension)
+
+
+@query()
+def skeleton_java(spark: SparkSession, folder: str) -> DataFrame:
+    return outlines(_of_language(spark, folder, ".java"))
+
+
+@query()
+def skeleton_python(spark: SparkSession, folder: str) -> DataFrame:
+    return outlines(_of_language(spark, folder, ".py"))
+
+
+@query()
+def skeleton_csharp(spark: SparkSession, folder: str) -> DataFrame:
+    return outlines(_of_language(spark, folder, ".cs"))
+
+
+@query()
+def chunk_java(spark: SparkSession, folder: str) -> DataFrame:
+    return chunked(_of_language(spark, folder, ".java"), 2000)
+
+
+@query()
+def chunk_python(spark: SparkSession, folder: str) -> DataFrame:
+    return chunked(_of_language(spark, folder, ".py"), 2000)
+
+
+@query()
+def chunk_csharp(spark: SparkSession, folder: str) -> DataFrame:
+    return chunked(_of_language(spark, folder, ".cs"), 2000)
+
+
+@query("SELECT file_id, substring(text, 1, 8000) AS chunk FROM source_text WHERE text IS NOT NULL AND NOT coalesce(lower(regexp_extract(file_path, '[^/.](\\.[^./]+)$', 1)) IN ('.java', '.py', '.cs'), false)")
+def chunk_other(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "source_text").where(~X.parseable(F.col("file_path")) & F.col("text").isNotNull())
+    return chunked(rows, 2000).select("file_id", "chunk")
+
+
+@query("SELECT file_id, CAST((length(text) - length(replace(text, 'class ', ''))) // 6 AS BIGINT) AS classes FROM source_text")
+def class_count(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "source_text").select("file_id", X.occurrences(F.col("text"), "class ").alias("classes"))
+
+
+# ---------------------------------------------------------------- grouping, sets
+
+
+@query("SELECT path, md5(string_agg(response, chr(10) || chr(10) ORDER BY response)) AS joined_md5 FROM responses WHERE response IS NOT NULL GROUP BY path")
+def group_sorted_concat(spark: SparkSession, folder: str) -> DataFrame:
+    return sorted_concat(table(spark, folder, "responses"), "path", "response").select("path", F.md5("response").alias("joined_md5"))
+
+
+@query("SELECT path, md5(substring(string_agg(response, chr(10) || chr(10) ORDER BY response), 1, 20000)) AS joined_md5 FROM responses WHERE response IS NOT NULL GROUP BY path")
+def group_sorted_concat_budget(spark: SparkSession, folder: str) -> DataFrame:
+    return sorted_concat(table(spark, folder, "responses"), "path", "response", 20000).select("path", F.md5("response").alias("joined_md5"))
+
+
+@query("SELECT path FROM responses UNION ALL SELECT path FROM errors")
+def union_all_paths(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "responses").select("path").unionByName(table(spark, folder, "errors").select("path"))
+
+
+@query("SELECT DISTINCT file_path AS path FROM source_text")
+def distinct_paths(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "source_text").select(F.col("file_path").alias("path")).dropDuplicates(["path"])
+
+
+@query("SELECT DISTINCT file_path AS path FROM source_text s WHERE NOT EXISTS (SELECT 1 FROM responses r WHERE r.path = s.file_path)")
+def anti_paths(spark: SparkSession, folder: str) -> DataFrame:
+    paths = table(spark, folder, "source_text").select(F.col("file_path").alias("path")).distinct()
+    return missing(paths, table(spark, folder, "responses").where("path is not null"))
+
+
+@query("SELECT model, CAST(sum(length(response) - length(replace(response, chr(10), ''))) AS BIGINT) AS lines FROM responses GROUP BY model")
+def newline_progress(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "responses").groupBy("model").agg(F.sum(X.newlines(F.col("response"))).alias("lines"))
+
+
+# ---------------------------------------------------------------- messages, cache
+
+
+@query("""SELECT cache_key, md5(array_to_string(list_transform(messages, lambda m: m.role || ': ' || m.content), chr(10) || chr(10))) AS rendered_md5, len(messages) AS turns FROM requests""")
+def render_messages(spark: SparkSession, folder: str) -> DataFrame:
+    joined = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n\n")
+    return table(spark, folder, "requests").select("cache_key", F.md5(joined).alias("rendered_md5"), F.size("messages").cast("bigint").alias("turns"))
+
+
+@query("SELECT sha256(to_json({messages: messages, model: coalesce(model, '')})) AS own_key, count(*) AS n FROM requests GROUP BY 1")
+def message_cache_key(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "requests").groupBy(caching.cache_key(F.col("messages"), F.col("model")).alias("own_key")).agg(F.count("*").alias("n"))
+
+
+
+
+@query("SELECT cache_key, seq, md5(coalesce(response, '')) AS response_md5 FROM (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY ts DESC, seq DESC) AS k FROM responses) WHERE k = 1")
+def cache_upsert_last_wins(spark: SparkSession, folder: str) -> DataFrame:
+    rows = caching.last_wins(table(spark, folder, "responses").select("cache_key", "response", "ts", "seq"))
+    return rows.select("cache_key", "seq", digest(F.col("response")).alias("response_md5"))
+
+
+def _cache(spark: SparkSession, folder: str) -> DataFrame:
+    stored = table(spark, folder, "responses").where(F.col("source") == "edge-cache")
+    return caching.last_wins(stored.select("cache_key", "response", "ts", "seq"))
+
+
+@query("SELECT DISTINCT q.cache_key FROM requests q WHERE q.cache_key IN (SELECT cache_key FROM responses WHERE source = 'edge-cache')")
+def cache_probe_hits(spark: SparkSession, folder: str) -> DataFrame:
+    return caching.hits(caching.once_each(table(spark, folder, "requests")), _cache(spark, folder)).select("cache_key")
+
+
+@query("SELECT DISTINCT q.cache_key FROM requests q WHERE q.cache_key NOT IN (SELECT cache_key FROM responses WHERE source = 'edge-cache')")
+def cache_probe_misses(spark: SparkSession, folder: str) -> DataFrame:
+    return caching.misses(caching.once_each(table(spark, folder, "requests")), _cache(spark, folder)).select("cache_key")
+
+
+@query("SELECT cache_key, seq FROM responses WHERE cache_key NOT IN (SELECT cache_key FROM requests WHERE model IS NULL)")
+def cache_delete(spark: SparkSession, folder: str) -> DataFrame:
+    gone = table(spark, folder, "requests").where("model is null").select("cache_key")
+    return table(spark, folder, "responses").select("cache_key", "seq").join(gone, "cache_key", "left_anti")
+
+
+@query("SELECT seq, md5(CASE WHEN json_valid(response) THEN json_extract_string(response, '$.answer') END) AS answer_md5 FROM responses")
+def cache_payload_json(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "responses").select("seq", F.md5(caching.answer_of(F.col("response"))).alias("answer_md5"))
+
+
+@query("SELECT cache_key, count(*) AS asked, CAST(1 AS INTEGER) AS called FROM requests GROUP BY cache_key")
+def stampede_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "requests")
+    return caching.once_each(rows).select("cache_key").join(rows.groupBy("cache_key").agg(F.count("*").alias("asked")), "cache_key").withColumn("called", F.lit(1))
+
+
+# ---------------------------------------------------------------- errors and waits
+
+
+@query("""SELECT kind, path, coalesce(message, '') || CASE WHEN path IS NOT NULL THEN ' [File: ' || path || ']' ELSE '' END || CASE WHEN cause IS NOT NULL THEN ' (Original exception: ' || cause || ')' ELSE '' END AS line FROM errors""")
+def error_render(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "errors").select("kind", "path", X.error_text(F.col("message"), F.col("path"), F.col("cause")).alias("line"))
+
+
+@query("SELECT coalesce(e.kind, 'answered') AS kind, count(*) AS n FROM (SELECT DISTINCT path FROM source_text s0(a, path)) s LEFT JOIN (SELECT path, min(kind) AS kind FROM errors GROUP BY path) e ON e.path = s.path GROUP BY 1".replace("source_text s0(a, path)", "(SELECT file_path AS path FROM source_text)"))
+def partial_failure_split(spark: SparkSession, folder: str) -> DataFrame:
+    failed = table(spark, folder, "errors").groupBy("path").agg(F.min("kind").alias("kind"))
+    paths = table(spark, folder, "source_text").select(F.col("file_path").alias("path")).distinct()
+    return paths.join(failed, "path", "left").groupBy(F.coalesce("kind", F.lit("answered")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(i AS INTEGER) AS attempt, CAST(power(2, i) AS BIGINT) AS wait FROM range(10) t(i)")
+def retry_schedule(spark: SparkSession, folder: str) -> DataFrame:
+    from ..config import ATTEMPTS
+    from ..operators.judge import wait_for
+
+    return spark.createDataFrame([(k, int(wait_for(k))) for k in range(ATTEMPTS)], "attempt int, wait bigint")
+
+
+# ---------------------------------------------------------------- semantic stages, with the lexical judge
+
+_TERMS = terms(QUESTION)
+_COUNTS = " OR ".join(f"contains(lower({{0}}), '{t}')" for t in _TERMS)
+
+
+@query(f"SELECT DISTINCT file_path AS path FROM source_text WHERE text IS NOT NULL AND NOT coalesce(lower(regexp_extract(file_path, '[^/.](\\.[^./]+)$', 1)) IN ('.java', '.py', '.cs'), false) AND ({_COUNTS.format('text')})")
+def semantic_filter_lexical(spark: SparkSession, folder: str) -> DataFrame:
+    """The filter stage over files without an outline, as their own outline, so that SQL can state it."""
+    files = table(spark, folder, "source_text").where(~X.parseable(F.col("file_path")) & F.col("text").isNotNull()).select(F.col("file_path").alias("path"), "text")
+    counted = F.lit(False)
+    for t in _TERMS:
+        counted = counted | F.contains(F.lower("text"), F.lit(t))
+    answers = files.select("path", F.when(counted, F.col("path")).otherwise("none").alias("answer"), F.xxhash64("path", "text").alias("group_id"))
+    return survivors(answers.select("group_id", "answer"), answers.select("group_id", "path").distinct(), "group_id").select("path").distinct()
+
+
+@query(f"""SELECT doc_id, md5(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE {_COUNTS.format('line')}), 'nothing relevant')) AS answer_md5
+    FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS k, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)
+    GROUP BY doc_id""")
+def semantic_map_lexical(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("path"), F.col("text"))
+    requests = pipeline._requests(docs, prompts.map_messages(F.col("path"), F.col("text"), QUESTION), "lexical")
+    asked = pipeline.answered(requests.select("path", "cache_key", "model", "messages"), LexicalJudge(), SearchConfig(cache_mode="none", concurrency=64), None)
+    return asked.select(F.col("path").cast("bigint").alias("doc_id"), F.md5("answer").alias("answer_md5"))
+
+
+@query("""WITH l AS (SELECT DISTINCT source, unnest(string_split(response, chr(10))) AS line FROM responses WHERE source IS NOT NULL),
+    k AS (SELECT source, line FROM l WHERE regexp_matches(line, '[^ \\t\\n\\x0B\\f\\r]') AND length(line) <= 60)
+    SELECT source, md5(string_agg(line, chr(10) ORDER BY line) || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY line)) AS both_md5 FROM k GROUP BY source""")
+def semantic_reduce_two_pass(spark: SparkSession, folder: str) -> DataFrame:
+    """Two calls a group, the second over the same notes: short lines of each writer's responses stand for the notes."""
+    lines = table(spark, folder, "responses").where("source is not null").select("source", F.explode(F.split("response", "\n")).alias("line")).where(F.col("line").rlike(r"\S") & (F.length("line") <= 60)).distinct()
+    first = sorted_concat(lines, "source", "line", between="\n")
+    return first.select("source", F.md5(F.concat_ws("\n\n", "line", "line")).alias("both_md5"))
+
+
+@query("SELECT file_id, md5('File: ' || file_path || chr(10) || text) AS shown_md5 FROM source_text WHERE text IS NOT NULL AND file_path IS NOT NULL")
+def no_refine_render(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "source_text").where("text is not null and file_path is not null")
+    return rows.select("file_id", F.md5(F.format_string("File: %s\n%s", "file_path", "text")).alias("shown_md5"))
+
+
+def _search(spark: SparkSession, folder: str, **changes) -> DataFrame:
+    files = as_files(table(spark, folder, "source_text"))
+    config = SearchConfig(cache_mode="none", concurrency=64, **changes)
+    return pipeline.search(files, QUESTION, LexicalJudge(), config).contexts
+
+
+@query()
+def search_end_to_end(spark: SparkSession, folder: str) -> DataFrame:
+    return _search(spark, folder, input_tokens=54_000)
+
+
+@query()
+def search_no_outlines(spark: SparkSession, folder: str) -> DataFrame:
+    return _search(spark, folder, analyze_skeletons=False, refine=False)
+
+
+@query()
+def stream_of_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """The responses as a stream, each micro-batch upserted into a cache; the cache after the last."""
+    from ..functions.arrow import shared_path
+
+    rows = table(spark, folder, "responses")
+    sink, checkpoint = shared_path(spark, "stream-cache"), shared_path(spark, "stream-checkpoint")
+    source = spark.readStream.schema(rows.schema).parquet(f"{folder}/responses.parquet*")
+
+    def one(batch: DataFrame, number: int) -> None:
+        caching.last_wins(batch.select("cache_key", "response", "ts", "seq")).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    source.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return caching.last_wins(spark.read.parquet(sink).select("cache_key", "response", "ts", "seq")).select("cache_key", "seq")
+
+
+SQL["stream_of_batches"] = "SELECT cache_key, seq FROM (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY ts DESC, seq DESC) AS k FROM responses) WHERE k = 1"
+
+__all__ = ["QUERIES", "QUESTION", "SQL", "materialize"]
