@@ -1,67 +1,5 @@
-"""Small helpers shared by the operators of this subpackage."""
+"""What the operators of this subpackage take from the core."""
 
-from __future__ import annotations
+from ..functions.arrow import arrow_map, materialize, shared_path, table
 
-from collections.abc import Callable, Iterable, Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Rows and bytes that one Arrow batch may carry to a Python worker. Texts reach 200,000 characters, so rows alone bound nothing.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
-
-
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    tune(spark)
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-def tune(spark: SparkSession) -> None:
-    """Bound what a Python worker holds at once."""
-    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        spark.conf.set(key, str(value))
-
-
-def arrow_map(df: DataFrame, per_batch: Callable[[dict[str, list]], Iterable[tuple]], schema: str, setup: Callable[[], Callable] | None = None) -> DataFrame:
-    """Narrow map: per_batch gets the columns of one Arrow batch as lists and gives output rows in the schema's order.
-
-    setup, if given, runs once in each worker and returns the per_batch to use."""
-    from pyspark.sql.types import StructType
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    out = to_arrow_schema(StructType.fromDDL(schema))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = setup() if setup else per_batch
-        for batch in batches:
-            rows = list(work({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), out)], schema=out)
-
-    return df.mapInArrow(run, schema)
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh place under the folder that all executors share; a local one only where none is set, as in tests."""
-    import tempfile
-    import uuid
-
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = tempfile.mkdtemp(prefix="sievewright-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write once and read back: cuts the lineage, and a lost executor takes nothing with it."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def texts(df: DataFrame, *columns: str) -> DataFrame:
-    """Prune to the named columns and drop rows without text (null texts are never cases)."""
-    return df.select(*columns).where(F.col(columns[-1]).isNotNull())
+__all__ = ["arrow_map", "materialize", "shared_path", "table"]
