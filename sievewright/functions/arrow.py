@@ -19,9 +19,23 @@ def tune(spark: SparkSession) -> None:
         spark.conf.set(key, str(value))
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+#: Tables of fewer bytes than this are spread over the cores where they have fewer files than there are cores.
+SMALL_TABLE = 256 << 20
+
+
+def table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
+    """The Parquet table of a folder. spread: for work in Python, which the few files of a small table would leave to a few
+    cores; larger tables have files enough and are never shuffled for it. Filters and columns still reach the scan."""
     tune(spark)
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    path = f"{folder}/{name}.parquet"
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if spread:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        size = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p)
+        if size.getFileCount() < cores and size.getLength() < SMALL_TABLE:
+            df = df.repartition(cores)
+    return df
 
 
 def arrow_map(df: DataFrame, per_batch: Callable[[dict[str, list]], Iterable[tuple]] | None, schema: str, setup: Callable[[], Callable] | None = None) -> DataFrame:

@@ -210,7 +210,7 @@ def stable_sort_blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _of_language(spark: SparkSession, folder: str, extension: str) -> DataFrame:
-    return table(spark, folder, "source_text").where(X.suffix(F.col("file_path")) == extension)
+    return table(spark, folder, "source_text", True).where(X.suffix(F.col("file_path")) == extension)
 
 
 @query()
@@ -245,7 +245,7 @@ def chunk_csharp(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT file_id, substring(text, 1, 8000) AS chunk FROM source_text WHERE text IS NOT NULL AND NOT coalesce(lower(regexp_extract(file_path, '[^/.](\\.[^./]+)$', 1)) IN ('.java', '.py', '.cs'), false)")
 def chunk_other(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "source_text").where(~X.parseable(F.col("file_path")) & F.col("text").isNotNull())
+    rows = table(spark, folder, "source_text", True).where(~X.parseable(F.col("file_path")) & F.col("text").isNotNull())
     return chunked(rows, 2000).select("file_id", "chunk")
 
 
@@ -386,7 +386,7 @@ def semantic_filter_lexical(spark: SparkSession, folder: str) -> DataFrame:
     FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS k, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)
     GROUP BY doc_id""")
 def semantic_map_lexical(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("path"), F.col("text"))
+    docs = table(spark, folder, "documents", True).where("text is not null").select(F.col("doc_id").cast("string").alias("path"), F.col("text"))
     requests = pipeline._requests(docs, prompts.map_messages(F.col("path"), F.col("text"), QUESTION), "lexical")
     asked = pipeline.answered(requests.select("path", "cache_key", "model", "messages"), LexicalJudge(), SearchConfig(cache_mode="none", concurrency=64), None)
     return asked.select(F.col("path").cast("bigint").alias("doc_id"), F.md5("answer").alias("answer_md5"))
@@ -409,7 +409,7 @@ def no_refine_render(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _search(spark: SparkSession, folder: str, **changes) -> DataFrame:
-    files = as_files(table(spark, folder, "source_text"))
+    files = as_files(table(spark, folder, "source_text", True))
     config = SearchConfig(cache_mode="none", concurrency=64, **changes)
     return pipeline.search(files, QUESTION, LexicalJudge(), config).contexts
 
