@@ -15,19 +15,19 @@ def limits(spark: SparkSession, folder: str, purpose: str) -> tuple[int, int]:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return truncation.find_truncated(table(spark, folder, "responses")).select("seq")
+    return truncation.find_truncated(table(spark, folder, "responses", True)).select("seq")
 
 
 def p2_rates(spark: SparkSession, folder: str) -> DataFrame:
-    return truncation.truncation_rates(table(spark, folder, "responses"))
+    return truncation.truncation_rates(table(spark, folder, "responses", True))
 
 
 def p2_hazards(spark: SparkSession, folder: str) -> DataFrame:
-    return truncation.hazards(truncation.endings(table(spark, folder, "responses"))).where("significant").drop("significant")
+    return truncation.hazards(truncation.endings(table(spark, folder, "responses", True))).where("significant").drop("significant")
 
 
 def _pieces(spark: SparkSession, folder: str, purpose: str) -> DataFrame:
-    return splitting.split_oversized(table(spark, folder, "source_text"), *limits(spark, folder, purpose))
+    return splitting.split_oversized(table(spark, folder, "source_text", True), *limits(spark, folder, purpose))
 
 
 def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
@@ -43,7 +43,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, folder: str, purpose: str) -> DataFrame:
-    sizes = packing.count_tokens(table(spark, folder, "documents"), vocab.path("byte_bpe_50k.tiktoken"))
+    sizes = packing.count_tokens(table(spark, folder, "documents", True), vocab.path("byte_bpe_50k.tiktoken"))
     return packing.pack(sizes, limits(spark, folder, purpose)[0]).withColumnRenamed("id", "doc_id")
 
 
@@ -56,7 +56,7 @@ def p6_pack_small(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
-    return leakage.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return leakage.find_leaks(table(spark, folder, "documents", True), table(spark, folder, "eval_items"))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -68,7 +68,7 @@ def p7_items(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_repaired(spark: SparkSession, folder: str) -> DataFrame:
-    return encoding.find_garbled(table(spark, folder, "documents"))
+    return encoding.find_garbled(table(spark, folder, "documents", True))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -85,7 +85,7 @@ SQL = {
 
 
 def p4_credentials(spark: SparkSession, folder: str) -> DataFrame:
-    return secrets.find_credentials(table(spark, folder, "source_text"))
+    return secrets.find_credentials(table(spark, folder, "source_text", True))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,18 +93,18 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_redacted(spark: SparkSession, folder: str) -> DataFrame:
-    return secrets.redact(table(spark, folder, "source_text"))
+    return secrets.redact(table(spark, folder, "source_text", True))
 
 
 def p4_index(spark: SparkSession, folder: str) -> DataFrame:
-    return secrets.trigram_index(table(spark, folder, "source_text"))
+    return secrets.trigram_index(table(spark, folder, "source_text", True))
 
 
 QUERIES |= {f.__name__: f for f in (p4_found, p4_credentials, p4_redacted, p4_index)}
 
 
 def p1_kinds(spark: SparkSession, folder: str) -> DataFrame:
-    return handwritten.find_machine_made(table(spark, folder, "source_text"))
+    return handwritten.find_machine_made(table(spark, folder, "source_text", True))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -115,7 +115,7 @@ QUERIES |= {f.__name__: f for f in (p1_found, p1_kinds)}
 
 
 def p3_parsed(spark: SparkSession, folder: str) -> DataFrame:
-    return parsing.parse_files(table(spark, folder, "source_text"))
+    return parsing.parse_files(table(spark, folder, "source_text", True))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -123,7 +123,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_rates(spark: SparkSession, folder: str) -> DataFrame:
-    return parsing.rates(table(spark, folder, "source_text"))
+    return parsing.rates(table(spark, folder, "source_text", True))
 
 
 QUERIES |= {f.__name__: f for f in (p3_found, p3_parsed, p3_rates)}
