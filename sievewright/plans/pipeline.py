@@ -21,6 +21,9 @@ from ..operators.relational import ordered_concat, sample_exactly, sorted_concat
 from ..schemas import ERRORS
 from . import prompts
 
+#: Batches of outlines that a packing task should fill at least.
+GROUPS_A_BUCKET = 16
+
 
 @dataclass
 class Result:
@@ -67,7 +70,10 @@ def coarse(files: DataFrame, question: str, config: SearchConfig, judge: Judge,
     """(paths that survive the filter over outlines, errors)."""
     shown = materialize(outlines(files, "ord", "path", "text"), "outlines")
     failed = shown.where("error is not null").select(F.lit("internal").alias("kind"), F.lit("the outline failed").alias("message"), "path", F.col("error").alias("cause"))
-    packed = pack_in_buckets(shown.where("error is null").select("path", "text").dropDuplicates(["path"]), "path", ["path"], token_count(F.col("text")), config.skeleton_batch)
+    good = shown.where("error is null").select("path", "text").dropDuplicates(["path"])
+    total = good.agg(F.sum(token_count(F.col("text"))).alias("t")).first()["t"] or 0
+    buckets = max(1, total // (GROUPS_A_BUCKET * config.skeleton_batch))  # each may leave one batch part-filled
+    packed = pack_in_buckets(good, "path", ["path"], token_count(F.col("text")), config.skeleton_batch, buckets)
     packed = materialize(packed, "outline-groups")
     batches = ordered_concat(packed, "group_id", ["path"], prompts.labelled(F.col("path"), F.col("text")))
     requests = materialize(_requests(batches.withColumn("where", F.lit(None).cast("string")), prompts.filter_messages(F.col("text"), question), config.analyze_model, "where").select("group_id", "cache_key", "model", "messages", "path"), "filter-requests")
