@@ -80,7 +80,7 @@ class Parser:
     @classmethod
     def kind(cls, token: str) -> str:
         c = token[0]
-        if c.isalpha() or c in "_$@#" and len(token) > 1 and not token[1] in "\"$@":
+        if c.isalpha() or c in "_$" or c == "@" and len(token) > 1:
             return token if token in cls.words or token in cls.contextual else "id"
         if c.isdigit() or c == "." and len(token) > 1 and token[1].isdigit():
             return "num" if cls.number.fullmatch(token) else "err"
@@ -731,6 +731,7 @@ class Java(Parser):
                 depth -= 1
             elif depth == 0:
                 if k in self.assign or k == ">=" or k == "->":
+                    angles = 0
                     break
                 angles += (k == "<") - (k == ">")
                 if k in self.binary and k not in ("<", ">"):
