@@ -64,7 +64,7 @@ BY_FORMAT = ("aws", "ghp", "glpat", "live", "xox", "pat", "tok", "jwt")
 
 _PLACEHOLDER = re.compile(r"(?i)^(?:\$|\{\{|#\{|%\(|%[A-Z_]+%|<.*>$|env:|vault:|ref:|secret:|ssm:|file:|arn:|@|op://|\*+$|x+$|\.+$|-+$|_+$|null$|none$|true$|false$|nil$|undefined$|todo|tbd|fixme|redacted|masked)|\$\{|\{\{|<[^<>]*>|(?:your|my|insert|enter|put|replace|change)[-_ ]?(?:me|this|here|it|the|own|your|api|token|key|password|secret)|changeme|placeholder|example[-_]?(?:key|token|pass)|dummy|(?:xxx|\*\*\*|\.\.\.)")
 _REFERENCE = re.compile(r"(?i)^(?:[\w.]+\(|/|\./|~/|\w:\\|(?:process|os|system|env|config|settings|self|this)\.|https?://[^@]*$|[\w\-]+(?:/[\w\-]+)+(?:#\w+)?$|[\w.\-]+\.(?:py|java|cs|js|json|ya?ml|md|txt|pem|toml|xml|env|properties|sh|key|crt)$)")
-_PLAIN_WORDS = re.compile(r"^[A-Za-z]*[a-z]+(?:[-_. /][a-z]+)*$|^[a-z]+(?:[-_][a-z]+)*-?\d{0,4}$|^[A-Z]+(?:_[A-Z0-9]+)*$|^[+-]?\d{1,9}(?:\.\d+)?$")
+_PLAIN_WORDS = re.compile(r"^[A-Z]?[a-z]+(?:[A-Z][a-z]{2,})*(?:[-_. /][A-Za-z][a-z]+)*$|^[a-z]+(?:[-_][a-z]+)*-?\d{0,4}$|^[A-Z]+(?:_[A-Z0-9]+)*$|^[+-]?\d{1,9}(?:\.\d+)?$")
 _SHORT_ID = re.compile(r"^[A-Za-z_]\w*(?:\.\w+|\(\)|\[\w*\])*$")
 
 
@@ -83,7 +83,7 @@ def usable(value: str, detector: str) -> bool:
     if _REFERENCE.search(v) or re.search(r"\{.*\}|\\[wsdbWSD(.]|^\^", v):
         return False
     if detector in ("address", "login option", "connection", "statement"):
-        return not re.fullmatch(r"(?i)pass(?:word)?|user|secret|pwd|token|[a-z]+", v)
+        return not re.fullmatch(r"[a-z]+|[A-Z]+|(?i:pass(?:word)?|user|secret|pwd|token)", v)
     if _PLAIN_WORDS.match(v) or len(v) < 8 or re.match(r"sha(?:1|256|384|512)[-:]|data:|urn:", v):
         return False
     kinds = bool(re.search(r"\d", v)) + bool(re.search(r"[a-z]", v)) + bool(re.search(r"[A-Z]", v)) + bool(re.search(r"[^\w]", v))

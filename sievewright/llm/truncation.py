@@ -103,9 +103,11 @@ def ending(text: str) -> str:
             rows.append(x.strip())
         cells = rows[-1].count("|")
         return ENDED if line.endswith("|") and line.count("|") == cells and len(rows) > 2 else OPEN
+    if re.fullmatch(r"[-*+>]|\d+[.)]|#+", line):
+        return OPEN
     last = line.split()[-1]
     if last[-1] in ".!?。！？":
-        if _PATH_CUT.search(last) and not _PATH_END.search(last[:-1]) or re.fullmatch(r"[-*]|\d+\.", line):
+        if _PATH_CUT.search(last) and not _PATH_END.search(last[:-1]):
             return OPEN
         return ENDED
     if _PATH_END.search(last):
