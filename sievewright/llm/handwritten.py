@@ -20,6 +20,8 @@ from .base import arrow_map, materialize
 
 #: Rows that the forest is fitted on at most, taken by a hash of the id; its trees, depth, rows of a leaf and seed; the share of trees that makes a case.
 SAMPLE_ROWS, TREES, DEPTH, LEAST_ROWS, SEED, THRESHOLD = 20_000, 60, 8, 8, 7, 0.35
+#: Share of a file's characters in literals from which it is data.
+DATA_SHARE = 0.7
 
 # Notices of tools and of copied libraries, and places and names that say what a file is.
 _TOOL = re.compile(
@@ -163,7 +165,7 @@ def judge(df: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
         .when(F.col("copy_place") | F.col("copy_notice"), "copy")
         .when(F.col("tool_notice"), "tool")
         .when(F.col("bundle_name") | code & (F.col("line_mean") > 200), "bundle")
-        .when(code & (F.col("literals") > 0.5) & (F.col("log_size") > math.log(200)), "data")
+        .when(code & (F.col("literals") > DATA_SHARE) & (F.col("log_size") > math.log(200)), "data")
         .when(code & (score >= THRESHOLD) | (F.col("tool_place") | F.col("tool_name")) & (score >= 0.2), "tool")
     )
     return scored.select("file_id", "score", kind.alias("kind"))

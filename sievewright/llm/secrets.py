@@ -87,6 +87,8 @@ def usable(value: str, detector: str) -> bool:
     if _PLAIN_WORDS.match(v) or len(v) < 8 or re.match(r"sha(?:1|256|384|512)[-:]|data:|urn:", v):
         return False
     kinds = bool(re.search(r"\d", v)) + bool(re.search(r"[a-z]", v)) + bool(re.search(r"[A-Z]", v)) + bool(re.search(r"[^\w]", v))
+    if detector in ("remark", "setting") and re.fullmatch(r"[a-z]+(?:[A-Z][a-z]+)*\d{0,3}[,;]?", v):
+        return False  # a name
     if detector in ("remark", "setting", "header", "api header"):
         if re.search(r"[(){}\[\]<>\\|]", v) and not re.search(r"\d", v):
             return False
