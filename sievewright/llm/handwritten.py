@@ -159,12 +159,14 @@ def judge(df: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
         scored = model.transform(known).withColumn("score", vector_to_array("probability")[1])
     code = F.col("ext").isin("py", "java", "cs", "js", "ts", "jsx", "c", "cpp", "h", "go", "rb", "php", "kt", "rs", "sh")
     score = F.coalesce("score", F.lit(0.0))
+    # Lines without bounds: hardly a blank in them, or at least more signs than prose has.
+    packed = (F.col("line_mean") > 110) & (F.col("spaces") < 0.05) | (F.col("line_mean") > 200) & (F.col("symbols") > 0.2)
     kind = (
         F.when(~F.col("has_text"), None)
         .when(F.col("lock_name"), "lock")
         .when(F.col("copy_place") | F.col("copy_notice"), "copy")
         .when(F.col("tool_notice"), "tool")
-        .when(F.col("bundle_name") | code & (F.col("line_mean") > 200), "bundle")
+        .when(F.col("bundle_name") | code & packed, "bundle")
         .when(code & (F.col("literals") > DATA_SHARE) & (F.col("log_size") > math.log(200)), "data")
         .when(code & (score >= THRESHOLD) | (F.col("tool_place") | F.col("tool_name")) & (score >= 0.2), "tool")
     )
