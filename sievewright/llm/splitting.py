@@ -37,12 +37,12 @@ def kind_of(path: str | None) -> str:
 def boundaries(text: str, kind: str) -> list[list[int]]:
     """Sorted character offsets at which a piece may end, best rank first.
 
-    0 top-level declaration, heading or entry; 1 second level; 2 after a blank line or a closed block; 3 line; 4 statement,
+    0 top-level declaration, heading or entry; 1 second level; 2 after a blank line, a closed block or a statement not far in; 3 line; 4 statement,
     sentence or list item; 5 word. Offsets inside block comments, long strings and fenced blocks get rank 3 at best."""
     ranks: list[list[int]] = [[] for _ in range(6)]
     held = [(m.start(), m.end()) for m in _HELD.finditer(text)]
     starts = [a for a, _ in held]
-    blank, closed, comment = False, False, False
+    blank, closed, comment, opened = False, False, False, False
     at = 0
     for m in _LINE.finditer(text):
         line = m.group()
@@ -60,13 +60,13 @@ def boundaries(text: str, kind: str) -> list[list[int]]:
             elif kind == MARKUP:
                 rank = 0 if _HEADING.match(body) and blank else 1 if blank else 3
             elif kind == CODE:
-                rank = (0 if depth == 0 else 1 if depth <= 4 else 2) if blank or closed and depth <= 4 else 2 if closed else 3
+                rank = (0 if depth == 0 else 1 if depth <= 4 else 2) if blank or closed and depth <= 4 else 2 if closed or depth <= 8 and not opened else 3
             else:
                 rank = 0 if depth == 0 or body[0] == "[" else 1 if depth <= 2 else 2 if depth <= 4 else 3
             ranks[rank].append(at)
         if body:
             comment = body.startswith(("//", "#", "@", "*", "--", "[")) and kind == CODE
-            closed, blank = bool(_CLOSER.match(body)), False
+            closed, blank, opened = bool(_CLOSER.match(body)), False, body[-1] in ":{([,+=\\"
         else:
             blank = True
     ranks[4] = [m.end() for m in _STATEMENT.finditer(text)]
