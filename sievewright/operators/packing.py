@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions.arrow import materialize
 
+#: Rows of one block at most, about: they lie in a task's memory.
+BLOCK_ROWS = 500_000
+
 
 def next_fit(sizes: list[int], limit: int, carried: int = 0, group: int = 0) -> tuple[list[int], int, int]:
     """(group of each, tokens in the last group, its number); carried tokens lie in the open group already, -1: none is open."""
@@ -83,8 +86,9 @@ def pack(df: DataFrame, order: list[str], tokens: Column, limit: int, blocks: in
         raise ValueError("the limit must not be negative")
     columns = [c for c in df.columns if c not in ("group_id", "is_large", "t", "block")]
     sized = df.select(*columns, F.coalesce(tokens.cast("bigint"), F.lit(0)).alias("t"))
-    n = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = materialize(sized.where(F.col("t") <= limit).repartitionByRange(n, *order).withColumn("block", F.spark_partition_id()), "pack-blocks")
+    small = sized.where(F.col("t") <= limit)
+    n = blocks or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-small.select("t").count() // BLOCK_ROWS))
+    rows = materialize(small.repartitionByRange(n, *order).withColumn("block", F.spark_partition_id()), "pack-blocks")
 
     def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf.sort_values(order, kind="stable", na_position="first")

@@ -14,7 +14,7 @@ from ..operators import cache as caching
 from ..operators.judge import LexicalJudge, terms
 from ..operators.outline import chunked, outlines
 from ..operators.packing import pack, with_singletons
-from ..operators.relational import not_within, ordered_concat, sample_exactly, sorted_concat, survivors
+from ..operators.relational import not_within, sample_exactly, sorted_concat, survivors
 from ..sources.scan import as_files, existing, missing
 from . import pipeline, prompts
 
@@ -183,11 +183,10 @@ def chunk_head_budget(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("file_id", t.alias("head_tokens"), used.alias("head_used"), F.when(used, 500 - t).otherwise(F.lit(500).cast("bigint")).alias("body_budget"))
 
 
-@query("""SELECT file_path, md5(string_agg('head' || chr(10) || chr(10) || coalesce(text, '') || chr(10) || repeat('}', 2), chr(10) ORDER BY file_id)) AS rendered_md5 FROM source_text GROUP BY file_path""")
+@query("SELECT file_id, md5('head' || chr(10) || chr(10) || regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+$', '') || chr(10) || repeat('}', 2)) AS rendered_md5 FROM source_text")
 def chunk_render(spark: SparkSession, folder: str) -> DataFrame:
-    piece = F.concat(F.lit("head\n\n"), F.coalesce("text", F.lit("")), F.lit("\n"), F.repeat(F.lit("}"), F.lit(2)))
-    joined = ordered_concat(table(spark, folder, "source_text"), "file_path", ["file_id"], piece, "\n")
-    return joined.select("file_path", F.md5("text").alias("rendered_md5"))
+    body = X.right_trim(F.coalesce("text", F.lit("")))
+    return table(spark, folder, "source_text").select("file_id", F.md5(F.concat(F.lit("head\n\n"), body, F.lit("\n"), F.repeat(F.lit("}"), F.lit(2)))).alias("rendered_md5"))
 
 
 _SPANS = [("a", "class", 0, 100), ("a", "method", 10, 30), ("a", "class", 40, 90), ("a", "field", 45, 50), ("a", "method", 100, 120), ("b", "method", 0, 50), ("b", "method", 10, 20), ("b", "enum", 60, 80), ("b", "field", 60, 80), ("c", "class", 5, 6)]
@@ -257,13 +256,8 @@ def class_count(spark: SparkSession, folder: str) -> DataFrame:
 # ---------------------------------------------------------------- grouping, sets
 
 
-@query("SELECT path, md5(string_agg(response, chr(10) || chr(10) ORDER BY response)) AS joined_md5 FROM responses WHERE response IS NOT NULL GROUP BY path")
-def group_sorted_concat(spark: SparkSession, folder: str) -> DataFrame:
-    return sorted_concat(table(spark, folder, "responses"), "path", "response").select("path", F.md5("response").alias("joined_md5"))
-
-
 @query("SELECT path, md5(substring(string_agg(response, chr(10) || chr(10) ORDER BY response), 1, 20000)) AS joined_md5 FROM responses WHERE response IS NOT NULL GROUP BY path")
-def group_sorted_concat_budget(spark: SparkSession, folder: str) -> DataFrame:
+def group_sorted_concat(spark: SparkSession, folder: str) -> DataFrame:
     return sorted_concat(table(spark, folder, "responses"), "path", "response", 20000).select("path", F.md5("response").alias("joined_md5"))
 
 
@@ -394,11 +388,11 @@ def semantic_map_lexical(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""WITH l AS (SELECT DISTINCT source, unnest(string_split(response, chr(10))) AS line FROM responses WHERE source IS NOT NULL),
     k AS (SELECT source, line FROM l WHERE regexp_matches(line, '[^ \\t\\n\\x0B\\f\\r]') AND length(line) <= 60)
-    SELECT source, md5(string_agg(line, chr(10) ORDER BY line) || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY line)) AS both_md5 FROM k GROUP BY source""")
+    SELECT source, md5(substring(string_agg(line, chr(10) ORDER BY line), 1, 50000) || chr(10) || chr(10) || substring(string_agg(line, chr(10) ORDER BY line), 1, 50000)) AS both_md5 FROM k GROUP BY source""")
 def semantic_reduce_two_pass(spark: SparkSession, folder: str) -> DataFrame:
     """Two calls a group, the second over the same notes: short lines of each writer's responses stand for the notes."""
     lines = table(spark, folder, "responses").where("source is not null").select("source", F.explode(F.split("response", "\n")).alias("line")).where(F.col("line").rlike(r"\S") & (F.length("line") <= 60)).distinct()
-    first = sorted_concat(lines, "source", "line", between="\n")
+    first = sorted_concat(lines, "source", "line", 50_000, "\n")
     return first.select("source", F.md5(F.concat_ws("\n\n", "line", "line")).alias("both_md5"))
 
 
