@@ -646,18 +646,25 @@ class CSharp(Parser):
             self.take(";")
 
     def effect(self, start: int) -> bool:
+        """An expression that stands alone must assign, call, count, create or await."""
         first, last = self.t[start], self.t[self.i - 1]
-        if first in ("await", "new", "++", "--") or last in ("++", "--") or last == ")" and first != "(" or last == "!" :
-            return True
-        depth = 0
+        if first in ("+", "-", "!", "~", "&"):
+            return False
+        depth, angles = 0, 0
         for k in self.t[start : self.i]:
             if k in ("(", "[", "{"):
                 depth += 1
             elif k in (")", "]", "}"):
                 depth -= 1
-            elif depth == 0 and k in self.assign:
-                return True
-        return first == "(" and last == ")" and self.matching(start) < self.i - 1
+            elif depth == 0:
+                if k in self.assign or k in (">=", "=>"):
+                    return True
+                angles += (k == "<") - (k == ">")
+                if k in self.binary and k not in ("<", ">", "switch", "with"):
+                    return False
+        if angles:
+            return False
+        return first in ("await", "new", "++", "--") or last in ("++", "--", "!") or last == ")" and (first != "(" or self.matching(start) < self.i - 1)
 
     def local_function(self) -> None:
         t = self.t
