@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 from .base import arrow_map, materialize
 
 #: Rows that the forest is fitted on at most, taken by a hash of the id; its trees, depth, rows of a leaf and seed; the share of trees that makes a case.
-SAMPLE_ROWS, TREES, DEPTH, LEAST_ROWS, SEED, THRESHOLD = 20_000, 60, 8, 8, 7, 0.35
+SAMPLE_ROWS, TREES, DEPTH, LEAST_ROWS, SEED, THRESHOLD = 20_000, 60, 8, 8, 7, 0.5
+#: Rows without a notice that a first forest gives so much are no sure negatives, and the second does without them.
+UNSURE = 0.2
 #: Share of a file's characters in literals from which it is data.
-DATA_SHARE = 0.7
+DATA_SHARE = 0.67
 
 # Notices of tools and of copied libraries, and places and names that say what a file is.
 _TOOL = re.compile(
@@ -44,7 +46,7 @@ _TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[
 _HEAD = re.compile(r"\A(?:[ \t]*(?:(?://|#|--|;|\*|<!--|%)[^\n]*|/\*.*?\*/|<!--.*?-->|@echo[^\n]*)?[ \t]*(?:\r?\n|\Z))*", re.S)
 #: Strings and comments in one pass, so that no quote is taken for another's end.
 _PARTS = re.compile(
-    r"(?P<s>\"\"\"(?:\\.|[^\\])*?\"\"\"|'''(?:\\.|[^\\])*?'''|@\"(?:\"\"|[^\"])*\"|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)|(?P<c>//[^\n]*|/\*.*?\*/|(?:^|(?<=\s))#[^\n]*|<!--.*?-->)",
+    r"(?P<s>\"\"\"(?:\\.|[^\\])*?(?:\"\"\"|\Z)|'''(?:\\.|[^\\])*?(?:'''|\Z)|@\"(?:\"\"|[^\"])*(?:\"|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*(?:`|\Z))|(?P<c>//[^\n]*|/\*.*?\*/|(?:^|(?<=\s))#[^\n]*|<!--.*?-->)",
     re.S | re.M,
 )
 _NUMBER_LIST = re.compile(r"(?:[-+]?(?:0x[0-9a-fA-F]+|\d+(?:\.\d+)?)[LlFfUu]?\s*[,;]\s*){6,}")
@@ -92,9 +94,10 @@ def numbers(body: str) -> list[float]:
     at = 0
     for m in _PARTS.finditer(body):
         size = m.end() - m.start()
-        if m.lastgroup == "c" or body[m.start() : m.start() + 3] in ('"""', "'''") and m.group().count(" ") > size / 12:
+        wordy = m.lastgroup == "s" and m.group().count(" ") > size / 12  # words, and code behind a quote that isn't closed
+        if m.lastgroup == "c" or wordy and body[m.start() : m.start() + 3] in ('"""', "'''"):
             comment += size
-        elif size > 16:
+        elif size > 16 and not wordy:
             literal += size
         rest.append(body[at : m.start()])
         at = m.end()
@@ -125,10 +128,9 @@ def features(df: DataFrame, id_column: str = "file_id", path_column: str = "file
 
 def fit(known: DataFrame, sample_rows: int = SAMPLE_ROWS):
     """The forest, fitted on labelled rows: a tool's notice against none. Rows whose place or name speaks for a tool without a
-    notice, and copies of libraries, are left out, as their label would be wrong or not to be seen in the text."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
+    notice, and copies of libraries, are left out, as their label would be wrong or not to be seen in the text. Tools' files that
+    carry no notice stand among the negatives; a first forest finds them, and a second is fitted without them."""
+    from pyspark.ml.functions import vector_to_array
 
     plain = ~(F.col("copy_notice") | F.col("copy_place") | F.col("tool_place") | F.col("tool_name") | F.col("lock_name") | F.col("bundle_name"))
     rows = known.where("has_text").where(F.col("tool_notice") & ~F.col("copy_notice") | plain)
@@ -136,12 +138,26 @@ def fit(known: DataFrame, sample_rows: int = SAMPLE_ROWS):
     if n > sample_rows:
         rows = rows.where(F.pmod(F.xxhash64("file_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * sample_rows / n)))
     rows = rows.withColumn("label", F.col("tool_notice").cast("double"))
+    rows = materialize(rows.select("label", *NUMBERS), "handwritten-sample")
+    first = _forest(rows)
+    if first is None:
+        return None
+    doubtful = vector_to_array("probability")[1] > UNSURE
+    sure = first.transform(rows).where((F.col("label") == 1) | ~doubtful).select("label", *NUMBERS)
+    return _forest(materialize(sure, "handwritten-sure")) or first
+
+
+def _forest(rows: DataFrame):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
     share = rows.agg(F.avg("label").alias("x")).first()["x"]
     if not share or share == 1.0:
         return None
-    rows = rows.withColumn("weight", F.when(F.col("label") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
+    weighed = rows.withColumn("weight", F.when(F.col("label") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featuresCol="features", labelCol="label", weightCol="weight", minInstancesPerNode=LEAST_ROWS)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(NUMBERS), outputCol="features"), forest]).fit(rows)
+    return Pipeline(stages=[VectorAssembler(inputCols=list(NUMBERS), outputCol="features"), forest]).fit(weighed)
 
 
 def judge(df: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -160,7 +176,7 @@ def judge(df: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     code = F.col("ext").isin("py", "java", "cs", "js", "ts", "jsx", "c", "cpp", "h", "go", "rb", "php", "kt", "rs", "sh")
     score = F.coalesce("score", F.lit(0.0))
     # Lines without bounds: hardly a blank in them, or at least more signs than prose has.
-    packed = (F.col("line_mean") > 110) & (F.col("spaces") < 0.05) | (F.col("line_mean") > 200) & (F.col("symbols") > 0.2)
+    packed = (F.col("line_mean") > 110) & (F.col("spaces") < 0.05) | (F.col("line_mean") > 120) & (F.col("symbols") > 0.3) | (F.col("line_mean") > 200) & (F.col("symbols") > 0.2)
     kind = (
         F.when(~F.col("has_text"), None)
         .when(F.col("lock_name"), "lock")
