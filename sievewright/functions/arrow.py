@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -57,11 +60,18 @@ def arrow_map(df: DataFrame, per_batch: Callable[[dict[str, list]], Iterable[tup
     return df.mapInArrow(run, schema)
 
 
+@lru_cache(maxsize=1)
+def _local_root() -> str:
+    """For tests and single machines; gone when the process ends."""
+    root = tempfile.mkdtemp(prefix="sievewright-")
+    atexit.register(shutil.rmtree, root, True)
+    return root
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh place under the folder that all executors share; a local one only where none is set, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = tempfile.mkdtemp(prefix="sievewright-")
+    root = root or _local_root()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
