@@ -111,7 +111,8 @@ def ending(text: str) -> str:
             return OPEN
         return ENDED
     if _PATH_END.search(last):
-        return ENDED
+        words = line.lstrip("-*+> ").split()
+        return BARE if len(words) > 3 and words[0][0] != "`" else ENDED  # a list's entry, or prose that stops at a path
     if re.fullmatch(r"\*\*[^*]+\*\*|#+ .*|.*:", line):
         return OPEN if body != line else BARE
     if last.rstrip("`'\"*)»”’")[-1:] in tuple(".!?。！？") and last[-1] in "`'\"*)»”’":
