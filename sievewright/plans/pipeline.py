@@ -105,6 +105,14 @@ def condensed(groups: DataFrame, question: str, config: SearchConfig, judge: Jud
     return both.select("group_id", F.concat_ws("\n\n", "first", "second").alias("context")), _errors(one).unionByName(_errors(two))
 
 
+def refined(notes: DataFrame, question: str, config: SearchConfig, judge: Judge, store: caching.Cache | None = None) -> tuple[DataFrame, DataFrame]:
+    """(contexts as in Result: notes (path, text) packed in order of path and condensed, those over the budget as they are, errors)."""
+    packed = materialize(pack(notes, ["path"], token_count(F.col("text")), config.input_tokens), "note-groups")
+    contexts, errors = condensed(packed.where("not is_large"), question, config, judge, store)
+    large = packed.where("is_large").select(F.lit(1 << 62).cast("bigint").alias("ord"), "path", F.format_string("File: %s\n%s", "path", "text").alias("context"))
+    return contexts.select(F.col("group_id").alias("ord"), F.lit("").alias("path"), "context").unionByName(large), errors
+
+
 def search(files: DataFrame, question: str, judge: Judge, config: SearchConfig | None = None, store: caching.Cache | None = None) -> Result:
     """Answers a question over files (path, ord, text, parseable). Repeated paths are kept on the side without a scanner, and
     meet again when findings are joined by path."""
@@ -126,10 +134,8 @@ def search(files: DataFrame, question: str, judge: Judge, config: SearchConfig |
     if not config.refine:
         shown = notes.select(F.lit(0).cast("bigint").alias("ord"), "path", F.format_string("File: %s\n%s", "path", "text").alias("context"))
         return Result(shown, errors)
-    packed = materialize(pack(notes, ["path"], token_count(F.col("text")), config.input_tokens), "note-groups")
-    contexts, last = condensed(packed.where("not is_large"), question, config, judge, store)
-    large = packed.where("is_large").select(F.lit(1 << 62).cast("bigint").alias("ord"), "path", F.format_string("File: %s\n%s", "path", "text").alias("context"))
-    return Result(contexts.select(F.col("group_id").alias("ord"), F.lit("").alias("path"), "context").unionByName(large), errors.unionByName(last))
+    contexts, last = refined(notes, question, config, judge, store)
+    return Result(contexts, errors.unionByName(last))
 
 
-__all__ = ["Result", "answered", "coarse", "condensed", "findings", "search", "with_singletons"]
+__all__ = ["Result", "answered", "coarse", "condensed", "findings", "refined", "search", "with_singletons"]

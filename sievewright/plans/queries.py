@@ -390,12 +390,21 @@ def semantic_map_lexical(spark: SparkSession, folder: str) -> DataFrame:
     k AS (SELECT source, line FROM l WHERE regexp_matches(line, '[^ \\t\\n\\x0B\\f\\r]') AND length(line) <= 60)
     SELECT source, md5(substring(string_agg(line, chr(10) ORDER BY line), 1, 50000) || chr(10) || chr(10) || substring(string_agg(line, chr(10) ORDER BY line), 1, 50000)) AS both_md5 FROM k GROUP BY source""")
 def semantic_reduce_two_pass(spark: SparkSession, folder: str) -> DataFrame:
-    """Two calls a group, the second over the same notes: short lines of each writer's responses stand for the notes."""
+    """Only as much of a reduction as SQL can state: short lines, named writers, a cut, no judge. semantic_condense_notes runs the whole stage."""
     lines = table(spark, folder, "responses").where("source is not null").select("source", F.explode(F.split("response", "\n")).alias("line")).where(F.col("line").rlike(r"\S") & (F.length("line") <= 60)).distinct()
     first = sorted_concat(lines, "source", "line", 50_000, "\n")
     return first.select("source", F.md5(F.concat_ws("\n\n", "line", "line")).alias("both_md5"))
 
 
+@query()
+def semantic_condense_notes(spark: SparkSession, folder: str) -> DataFrame:
+    """The reduce stage over every response with text, each a note under its source and number: packed, then two judge calls a group."""
+    rows = table(spark, folder, "responses").where("response is not null")
+    notes = rows.select(F.format_string("%s/%012d", F.coalesce("source", F.lit("")), "seq").alias("path"), F.col("response").alias("text"))
+    config = SearchConfig(cache_mode="none", concurrency=64, input_tokens=54_000)
+    return pipeline.refined(notes, QUESTION, config, LexicalJudge())[0]
+
+
 @query("SELECT file_id, md5('File: ' || file_path || chr(10) || text) AS shown_md5 FROM source_text WHERE text IS NOT NULL AND file_path IS NOT NULL")
 def no_refine_render(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "source_text").where("text is not null and file_path is not null")

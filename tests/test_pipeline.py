@@ -129,3 +129,26 @@ def test_command_line(tmp_path, capsys, spark):
     assert main(["outline", str(f)]) == 0 and "{...}" in capsys.readouterr().out
     assert main([QUESTION], [str(tmp_path / "none")]) == 1
     assert main([QUESTION, "--no-refine", "--concurrency", "2"], [str(f)]) == 0 and "class Session" in capsys.readouterr().out
+
+
+def test_condensing_of_all_notes(spark, tmp_path):
+    from sievewright.plans.queries import QUERIES
+
+    long = "a line of well over sixty characters that a note may hold as well as any shorter one, number "
+    notes = [(k, ["w", None, "archive"][k % 3], "\n".join(f"{long}{j} of {k // 2}" for j in range(300 + 60 * k))) for k in range(18)]
+    notes += [(18, "w", None), (19, None, "short"), (20, "w", " \n"), (21, "archive", "x" * (4 * 54_000 + 1)), (22, None, "y" * (4 * 54_000))]
+    spark.createDataFrame(notes, "seq long, source string, response string").write.parquet(str(tmp_path / "responses.parquet"))
+    groups, held, large = [], 0, []
+    for path, text in sorted((f"{source or ''}/{seq:012d}", text) for seq, source, text in notes if text is not None):
+        size = (len(text) + 3) // 4
+        if size > 54_000:
+            large.append((1 << 62, path, f"File: {path}\n{text}"))
+            continue
+        if not groups or held + size > 54_000:
+            groups, held = [*groups, set()], 0
+        held += size
+        groups[-1].update(x for x in text.split("\n") if x.strip())
+    once = ["\n".join(sorted(g)) or "nothing relevant" for g in groups]
+    got = QUERIES["semantic_condense_notes"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(k, "", f"{x}\n\n{x}") for k, x in enumerate(once)] + large
+    assert len(groups) > 3 and len(large) == 1
