@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from .syntax import _C_ASSIGN, _C_BINARY, Bad, Parser
+from .syntax import _C_ASSIGN, _C_BINARY, Bad, Parser, lines_of
 
 #: Regular expressions, which only what stands before them tells from a division, become plain strings beforehand.
 _REGEX_HINT = re.compile(r"(?:[(,=:\[!&|?{};+\-*%<>~^\n]|\b(?:return|typeof|case|in|of))[ \t]*/(?![/*])")
@@ -44,6 +44,7 @@ class JavaScript(Parser):
         self.t += ["eof"] * 4
         self.i = 0
         self.errors: list[tuple[int, str]] = []
+        self.partners: dict[str, dict[int, int]] = {}
         self.depth = 0
         self.functions, self.no_in = 0, False
         self.form = ""
@@ -83,11 +84,8 @@ class JavaScript(Parser):
             k += 1
         return True
 
-    def line_of(self, at: int) -> int:
-        for k, m in enumerate(self.lexer.finditer(self.text)):
-            if k == at:
-                return self.text.count("\n", 0, m.start(2)) + 1
-        return self.text.count("\n") + 1
+    def lines_of(self, places: list[int]) -> list[int]:
+        return lines_of(self.lexer, self.text, 2, places)
 
     def any_word(self) -> None:
         k = self.t[self.i]

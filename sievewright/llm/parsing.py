@@ -40,7 +40,7 @@ def errors_of(text: str, extension: str) -> list[tuple[int, str]]:
             return []
         except (SyntaxError, ValueError, MemoryError, RecursionError):
             pass
-    return [(parser.line_of(at), cause) for at, cause in found]
+    return list(zip(parser.lines_of([at for at, _ in found]), [cause for _, cause in found]))
 
 
 def parse_files(df: DataFrame, id_column: str = "file_id", path_column: str = "file_path", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import re
 
-from .syntax import MOST_ERRORS, Bad, Kinds, Letters
+from .syntax import Bad, Kinds, Letters, lines_of
 
 # The words and operators of the language.
 WORDS = frozenset("False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split())
@@ -750,11 +750,8 @@ class Python:
         self.t = list(map(self.kinds.__getitem__, self.tokens))
         self.errors: list[tuple[int, str]] = []
 
-    def line_of(self, at: int) -> int:
-        for k, m in enumerate(_LEXER.finditer(self.text)):
-            if k == at:
-                return self.text.count("\n", 0, m.start(1)) + 1
-        return self.text.count("\n") + 1
+    def lines_of(self, places: list[int]) -> list[int]:
+        return lines_of(_LEXER, self.text, 1, places)
 
     def shape(self, s: str, at: int, end: int) -> tuple:
         """(head, opens a block, None) or ("", False, (place in the line, why))."""
@@ -836,8 +833,6 @@ class Python:
                     why = "case and match apart"
             if why or bad:
                 errors.append((at, why) if why else (at + min(bad[0], end - at), bad[1]))
-                if len(errors) >= MOST_ERRORS:
-                    return errors
                 # panic: go on as if the line were right, with whatever indentation comes next
                 stack = [x for x in stack if len(x[0].expandtabs(8)) <= len(width)] or [("", "", "")]
                 if len(stack[-1][0].expandtabs(8)) != len(width):

@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-MOST_ERRORS = 25
 _MEMORY = 400_000
 
 
@@ -42,6 +41,20 @@ class Letters(dict):
         return c
 
 
+def lines_of(lexer: re.Pattern, text: str, group: int, places: list[int]) -> list[int]:
+    """The line of each of these tokens, in one pass; a place behind the last token is on the last line."""
+    wanted, lines, line, done = set(places), {}, 1, 0
+    for k, m in enumerate(lexer.finditer(text)):
+        if k in wanted:
+            line += text.count("\n", done, m.start(group))
+            done = m.start(group)
+            lines[k] = line
+            if len(lines) == len(wanted):
+                break
+    last = text.count("\n") + 1
+    return [lines.get(k, last) for k in places]
+
+
 class Parser:
     """What the languages with braces share. i is the place in t, the kinds of the tokens."""
 
@@ -72,6 +85,7 @@ class Parser:
         self.t += ["eof"] * 4
         self.i = 0
         self.errors: list[tuple[int, str]] = []
+        self.partners: dict[str, dict[int, int]] = {}
         self.depth = 0
         self.names: list[str | None] = [None]  # the types that the place lies in
 
@@ -128,6 +142,16 @@ class Parser:
         """Place of the bracket that closes the one at this place, or that of the end."""
         depth, t = 0, self.t
         n = len(t) - 4
+        if at < n and t[at] == opens:
+            if opens not in self.partners:
+                known, waiting = {}, []
+                for k, kind in enumerate(t):
+                    if kind == opens:
+                        waiting.append(k)
+                    elif kind == closes and waiting:
+                        known[waiting.pop()] = k
+                self.partners[opens] = known
+            return self.partners[opens].get(at, n)
         while at < n:
             if t[at] == opens:
                 depth += 1
@@ -156,20 +180,24 @@ class Parser:
 
     def repeat(self, f, end: str) -> None:
         """f until end; after an error in it, on from the next statement."""
+        if self.depth >= 120:
+            raise Bad(self.i - (self.t[self.i - 1] == "{"), "nested too deeply")  # the block is skipped whole
         self.depth += 1
-        if self.depth > 120:
-            self.fail("nested too deeply")
+        depth = self.depth
         while self.t[self.i] != end:
             if self.t[self.i] == "eof":
                 self.fail(f"the file ends before {end}")
             at = self.i
             try:
                 f()
-            except Bad as e:
-                self.errors.append((e.at, e.why))
-                if len(self.errors) >= MOST_ERRORS or self.t[e.at] == "eof":
+            except (Bad, RecursionError) as e:
+                place, why = (e.at, e.why) if isinstance(e, Bad) else (self.i, "nested too deeply")
+                if why != "given up":
+                    self.errors.append((place, why))
+                if self.t[place] == "eof":
                     raise Bad(len(self.t) - 4, "given up") from None
-                self.i = max(e.at, at)
+                self.depth = depth
+                self.i = max(place, at)
                 self.panic(at)
         self.depth -= 1
 
@@ -204,13 +232,11 @@ class Parser:
                 self.errors.append((e.at, e.why))
         except RecursionError:
             self.errors.append((self.i, "nested too deeply"))
+        self.errors = list(dict.fromkeys(self.errors))  # what was tried twice counts once
         return self.errors
 
-    def line_of(self, at: int) -> int:
-        for k, m in enumerate(self.lexer.finditer(self.text)):
-            if k == at:
-                return self.text.count("\n", 0, m.start(1)) + 1
-        return self.text.count("\n") + 1
+    def lines_of(self, places: list[int]) -> list[int]:
+        return lines_of(self.lexer, self.text, 1, places)
 
     # ---------------------------------------------------------------- expressions
 
@@ -1012,41 +1038,56 @@ class Json(Parser):
         return token if token in cls.words or token in ("{", "}", "[", "]", ",", ":") else "err"
 
     def file(self) -> None:
-        """One value; brackets are kept on a stack, as values nest without bound."""
-        t, stack, i = self.t, [], 0
+        """One value; brackets are kept on a stack, as values nest without bound. After an error, on from the next comma or bracket."""
+        t, stack, held, i, want = self.t, [], {"}": 0, "]": 0}, 0, "value"
         while True:
             k = t[i]
-            if k in ("{", "["):
-                stack.append("}" if k == "{" else "]")
-                i += 1
-                if t[i] == stack[-1]:
-                    stack.pop()
+            if want == "name":
+                if k == "str" and t[i + 1] == ":":
+                    i, want = i + 2, "value"
+                    continue
+                why = "expected a name and a colon"
+            elif want == "value":
+                if k in ("{", "["):
+                    stack.append("}" if k == "{" else "]")
+                    held[stack[-1]] += 1
                     i += 1
-                else:
-                    if stack[-1] == "}":
-                        i = self.key(i)
+                    want = "end" if t[i] == stack[-1] else "name" if k == "{" else "value"
                     continue
-            elif k in ("str", "num", "true", "false", "null"):
-                i += 1
+                if k in ("str", "num", "true", "false", "null"):
+                    i, want = i + 1, "end"
+                    continue
+                why = f"expected a value, found {k}"
             else:
-                raise Bad(i, f"expected a value, found {k}")
-            while stack and t[i] == stack[-1]:
-                stack.pop()
+                if stack and k == stack[-1]:
+                    held[stack.pop()] -= 1
+                    i += 1
+                    continue
+                if stack and k == ",":
+                    i, want = i + 1, "name" if stack[-1] == "}" else "value"
+                    continue
+                if not stack and k == "eof":
+                    return
+                why = f"expected a comma or {stack[-1]}, found {k}" if stack else "more than one value"
+            self.errors.append((i, why))
+            at = i
+            while t[i] not in ("{", "[", ",", "eof") and not held.get(t[i]):
                 i += 1
-            if not stack:
-                break
-            if t[i] != ",":
-                raise Bad(i, f"expected a comma or {stack[-1]}, found {t[i]}")
-            i += 1
-            if stack[-1] == "}":
-                i = self.key(i)
-        if t[i] != "eof":
-            raise Bad(i, "more than one value")
-
-    def key(self, i: int) -> int:
-        if self.t[i] != "str" or self.t[i + 1] != ":":
-            raise Bad(i, "expected a name and a colon")
-        return i + 2
+            k = t[i]
+            if k in ("{", "["):
+                want = "value"
+            elif k == ",":
+                i, want = i + 1, "name" if stack and stack[-1] == "}" else "value"
+                if not stack and t[i] == "eof":
+                    return
+            elif k == "eof":
+                if stack and i > at:
+                    self.errors.append((i, f"the file ends before {stack[-1]}"))
+                return
+            else:  # a bracket that closes this value or one around it
+                while stack[-1] != k:
+                    held[stack.pop()] -= 1
+                want = "end"
 
 
 @lru_cache(maxsize=1)

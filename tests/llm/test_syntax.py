@@ -91,6 +91,22 @@ def test_all_errors_and_first_cause():
     assert [line for line, _ in found] == [2, 3] and "unexpected ;" in found[0][1]
 
 
+def test_errors_beyond_the_first_many():
+    lines = list(range(2, 62))
+    assert [a for a, _ in errors_of("class A {\n" + "  void f() { int x = ; }\n" * 60 + "}\n", "java")] == lines
+    assert [a for a, _ in errors_of("class A {\n" + "  void F() { int x = ; }\n" * 60 + "}\n", "cs")] == lines
+    assert [a for a, _ in errors_of("{\n" + "  let x = ;\n" * 60 + "}\n", "js")] == lines
+    assert [a for a, _ in errors_of("if 1:\n" + "    x = = 1\n" * 60, "py")] == lines
+    assert [a for a, _ in errors_of("[\n" + '  {"a" 1, "b": 2},\n' * 60 + "  3\n]\n", "json")] == lines
+    deep = "class A { void f() " + "{ " * 130 + "} " * 130 + "\n"
+    assert [a for a, _ in errors_of(deep + "  void g() { int x = 1; { int y = ; } }\n}\n", "java")] == [1, 2]
+
+
+def test_recovery_of_json():
+    for text, n in (('{"a": 1,}', 1), ("[1 2, 3 4]", 2), ('{"a": [1, 2}', 1), ('{"a": [1, 2, "b" 3}', 1), ('{"a": 1}, {"b": 2}', 1), ('[{"a" 1}, {"b": }, [,], {c: 1}]', 5), ('[1 {"a" 2}]', 2), ('{"a" 1', 2), ("[" * 50_000 + "}" * 50_000, 2), ("]", 1)):
+        assert len(errors_of(text, "json")) == n, (text[:60], errors_of(text, "json")[:9])
+
+
 def test_deep_nesting_ends():
     for ext, text in (("java", "class A { int x = " + "(" * 3000 + ")" * 3000 + "; }"), ("js", "[" * 4000), ("py", "(" * 500 + ")" * 500), ("json", "[" * 100_000 + "]" * 100_000)):
         errors_of(text, ext)
