@@ -170,10 +170,11 @@ def hazards(features: DataFrame) -> DataFrame:
     long = texts.select("source", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("length")) for m in measures])).alias("x")).select("source", "x.*").where("length > 0")
     counts = long.groupBy("source", "measure", "length").agg(F.count("*").alias("texts"))
     w = Window.partitionBy("source", "measure")
-    near = w.orderBy("length").rangeBetween(-NEIGHBOURS, NEIGHBOURS)
-    tested = counts.select("*", F.sum("texts").over(w.orderBy(F.desc("length"))).alias("at_risk"), (F.sum("texts").over(near) - F.col("texts")).alias("near"))
-    # Of the neighbourhood's lengths, those that no text has count as well: their exposure is that of this length.
-    expected = (F.col("near") + 0.5) / F.lit(2.0 * NEIGHBOURS)
+    tested = counts.select("*", F.sum("texts").over(w.orderBy(F.desc("length"))).alias("at_risk"), F.max("length").over(w).alias("longest")).withColumn("hazard", F.col("texts") / F.col("at_risk"))
+    near = [F.coalesce(F.sum("hazard").over(w.orderBy("length").rangeBetween(*r)), F.lit(0.0)) for r in ((-NEIGHBOURS, -1), (1, NEIGHBOURS))]
+    # Of the neighbourhood's lengths, those that no text has count as well, their hazard is 0; behind the longest text there is none.
+    lengths = F.least(F.col("length") - 1, F.lit(NEIGHBOURS)) + F.least(F.col("longest") - F.col("length"), F.lit(NEIGHBOURS))
+    expected = (F.col("at_risk") * (near[0] + near[1]) + 0.5) / F.greatest(lengths, F.lit(1))
 
     def test(c: dict[str, list]) -> Iterator[tuple]:
         for row in zip(*[c[k] for k in ("source", "measure", "length", "texts", "at_risk", "expected")]):

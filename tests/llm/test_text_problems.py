@@ -232,6 +232,21 @@ def test_hazard_of_a_field_limit(spark, empty):
     assert truncation.find_truncated(empty(schema)).count() == 0 and truncation.truncation_rates(empty(schema)).count() == 0
 
 
+def test_hazard_behind_a_larger_limit(spark):
+    def text(k, n):
+        return (f"{k:06d}" + "x" * n)[:n]
+
+    sizes = [100] * 6000 + [120] * 60 + [101 + k % 150 for k in range(40)] + [20 + k % 80 for k in range(160)]
+    df = spark.createDataFrame([(k, text(k, n), "a") for k, n in enumerate(sizes)], "seq long, response string, source string")
+    got = {r["length"]: r for r in truncation.hazards(truncation.endings(df)).where("measure = 'n_chars'").collect()}
+    assert {n for n, r in got.items() if r["significant"]} == {100, 120}
+    n = {k: sizes.count(k) for k in range(1, max(sizes) + 1)}
+    hazard = {k: n[k] / sum(n[j] for j in n if j >= k) for k in n}
+    for k, r in got.items():
+        near = [hazard[j] for j in n if j != k and abs(j - k) <= truncation.NEIGHBOURS]
+        assert abs(r["expected"] - (r["at_risk"] * sum(near) + 0.5) / len(near)) < 1e-6
+
+
 def test_poisson_tail():
     from math import exp
 
