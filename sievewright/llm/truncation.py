@@ -26,8 +26,8 @@ from .base import arrow_map, materialize
 NEIGHBOURS, FALSE_DISCOVERIES, LEAST_TEXTS = 25, 0.001, 4
 #: Where this share of a form's texts of a significant length is unfinished, a finished look doesn't clear the rest of that form.
 MOSTLY_CUT = 0.9
-#: A short text that is the whole answer of this share of all rows (and of three rows at least) is a stock reply, not a stump.
-STOCK_SHARE, STOCK_LENGTH = 0.001, 60
+#: A text of so many characters at most that is the whole answer under so many cache keys and for so many paths is a stock reply, not a stump.
+STOCK_LENGTH, STOCK_CALLS = 60, 3
 
 # File extensions that end a path, and what writers put behind a cut.
 EXTENSIONS = "py java cs js ts json yml yaml properties md sh xml toml sql env txt html css csv cfg ini go rs c cpp h rb kt".split()
@@ -120,24 +120,26 @@ def ending(text: str) -> str:
     return BARE
 
 
-FEATURES = "seq bigint, source string, text_hash bigint, answer_hash bigint, form string, ending string, n_chars int, n_bytes int, answer_chars int, answer_bytes int"
+FEATURES = "seq bigint, source string, key bigint, path bigint, head string, text_hash bigint, answer_hash bigint, form string, ending string, n_chars int, n_bytes int, answer_chars int, answer_bytes int"
 
 
 def endings(df: DataFrame) -> DataFrame:
-    """Form, ending and lengths of every response with text. Null and blank responses give no rows."""
-    rows = df.select(F.col("seq").cast("bigint").alias("seq"), "source", F.col("response")).where(F.col("response").rlike(r"\S"))
+    """Form, ending and lengths of every response with text, its call (cache_key and path where df has them, else the row
+    stands for itself) and the head of its answer. Null and blank responses give no rows."""
+    call = [F.xxhash64("seq") if c not in df.columns else F.when(F.col(c).isNotNull(), F.xxhash64(c)) for c in ("cache_key", "path")]
+    rows = df.select(F.col("seq").cast("bigint").alias("seq"), "source", call[0].alias("key"), call[1].alias("path"), F.col("response")).where(F.col("response").rlike(r"\S"))
 
     def per_batch(c: dict[str, list]) -> Iterator[tuple]:
         import xxhash
 
         h = lambda x: int.from_bytes(xxhash.xxh64_digest(x), "big", signed=True)
-        for seq, source, text in zip(c["seq"], c["source"], c["response"]):
+        for seq, source, key, path, text in zip(c["seq"], c["source"], c["key"], c["path"], c["response"]):
             form, answer = unpack(text)
             answer = answer or ""
             end = (OPEN if unclosed(answer) else ending(answer)) if form == "broken" else ending(answer)
             core = _MARKER.sub("", answer.rstrip()) if end == MARKED else answer
             raw, a = text.encode("utf-8", "surrogatepass"), core.encode("utf-8", "surrogatepass")
-            yield seq, source, h(raw), h(answer.strip().encode("utf-8", "surrogatepass")), form, end, len(text), len(raw), len(core), len(a)
+            yield seq, source, key, path, answer.strip()[: STOCK_LENGTH + 1], h(raw), h(answer.strip().encode("utf-8", "surrogatepass")), form, end, len(text), len(raw), len(core), len(a)
 
     return arrow_map(rows, per_batch, FEATURES)
 
@@ -188,11 +190,25 @@ def hazards(features: DataFrame) -> DataFrame:
     return ranked.withColumn("significant", F.coalesce((F.col("k") <= F.col("cut")) & (F.col("texts") >= LEAST_TEXTS), F.lit(False))).drop("k", "m", "cut")
 
 
+def stock_replies(features: DataFrame) -> DataFrame:
+    """answer_hash of short whole answers that recur by themselves: under several cache keys and for several paths, which copies
+    of a row don't have, and no other answer goes on within their last word."""
+    short = features.where((F.col("ending") == BARE) & (F.col("answer_chars") <= STOCK_LENGTH))
+    often = short.groupBy("answer_hash").agg(F.countDistinct("key").alias("keys"), F.countDistinct("path").alias("paths"), F.first("head").alias("head"))
+    often = materialize(often.where((F.col("keys") >= STOCK_CALLS) & (F.col("paths") >= STOCK_CALLS)).select("answer_hash", "head"), "truncation-stock")
+    lengths = [r["n"] for r in often.select(F.length("head").alias("n")).distinct().collect()]  # STOCK_LENGTH at most
+    n = F.col("n")
+    longer = features.select("head").distinct().withColumn("n", F.explode(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>")))
+    longer = longer.where(F.substring("head", n, F.lit(2)).rlike(r"^[\p{L}\p{N}_]{2}$")).select(F.substring("head", F.lit(1), n).alias("head"))
+    return often.join(longer, "head", "left_anti").select("answer_hash")
+
+
 def find_truncated(df: DataFrame) -> DataFrame:
     """seq, source, form, ending, evidence (length or ending) of each truncated response.
 
     Null, empty and blank responses are not cases; a null source is a source of its own; repeated rows count by their own
-    seq; an empty table gives no rows; other columns are not looked at."""
+    seq; an empty table gives no rows; cache_key and path, where df has them, tell stock replies from copies of a stump; other
+    columns are not looked at."""
     features = materialize(endings(df), "truncation-features")
     measures = ("n_chars", "n_bytes", "answer_chars", "answer_bytes")
     spikes = materialize(hazards(features).where("significant").select("source", "measure", "length"), "truncation-spikes")
@@ -206,13 +222,11 @@ def find_truncated(df: DataFrame) -> DataFrame:
         marked = marked.join(at, F.col("source").eqNullSafe(F.col("s")) & (F.col(m) == F.col("l")) & (F.col("form") == F.col("f")), "left").drop("s", "l", "f")
     at_spike = F.coalesce(*[f"all_{m}" for m in measures]).isNotNull()
     cut_there = F.greatest(*[F.coalesce(f"all_{m}", F.lit(False)) for m in measures])
-    rows = features.agg(F.count("*").alias("n")).first()["n"]
-    # Whole answers that recur by themselves: by the share asked for, at most 1 / STOCK_SHARE texts, so this may be sent everywhere.
-    stock = features.where((F.col("ending") == BARE) & (F.col("answer_chars") <= STOCK_LENGTH)).groupBy("answer_hash").agg(F.count("*").alias("n"))
-    stock = stock.where(F.col("n") >= max(3, STOCK_SHARE * rows)).select("answer_hash", F.lit(True).alias("stock"))
-    out = marked.join(F.broadcast(stock), "answer_hash", "left")
+    # The planner chooses the join by what is written: a stock reply is one row, however often it is given.
+    stock = materialize(stock_replies(features), "truncation-stock-replies").withColumn("stock", F.lit(True))
+    out = marked.join(stock, "answer_hash", "left")
     other = ~F.coalesce("stock", F.lit(False))
-    by_length = at_spike & other & ((F.col("ending") != ENDED) | cut_there)
+    by_length = at_spike & ((F.col("ending") != ENDED) | cut_there)
     by_ending = F.col("ending").isin(OPEN, MARKED) | (F.col("ending") == BARE) & other
     return out.where(by_length | by_ending).select("seq", "source", "form", "ending", F.when(by_length, "length").otherwise("ending").alias("evidence"))
 

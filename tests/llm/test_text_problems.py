@@ -247,6 +247,16 @@ def test_hazard_behind_a_larger_limit(spark):
         assert abs(r["expected"] - (r["at_risk"] * sum(near) + 0.5) / len(near)) < 1e-6
 
 
+def test_copies_of_a_stump_are_no_stock_reply(spark):
+    rows = [(k, "The mapper walks the tree once and colle", "a", "key", "x.py") for k in range(50)]
+    rows += [(100 + k, "On shutdown the catal", "a", f"k{k}", f"{k}.py") for k in range(9)] + [(110, "On shutdown the catalog drains.", "a", "k", "y.py")]
+    rows += [(200 + k, "No match", "b", f"n{k}", f"{k}.py") for k in range(3)] + [(210 + k, "It ends in the mid", "b", f"m{k}", None) for k in range(9)]
+    few = spark.createDataFrame(rows, "seq long, response string, source string, cache_key string, path string")
+    more = [(10_000 + k, f"All of part {k} is done" + " and tested" * (k % 23) + ".", "c", f"c{k}", f"c{k}.py") for k in range(4000)]
+    for df in (few, few.unionByName(spark.createDataFrame(more, few.schema))):
+        assert {r["seq"] for r in truncation.find_truncated(df).collect()} == {*range(50), *range(100, 109), *range(210, 219)}
+
+
 def test_poisson_tail():
     from math import exp
 
