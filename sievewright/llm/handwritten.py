@@ -88,7 +88,7 @@ def numbers(body: str) -> list[float]:
     spread = math.sqrt(max(0.0, sum(len(t) ** 2 * c for t, c in names) / n_names - mean**2))
     lines = body.split("\n")
     full = [x for x in lines if x.strip()]
-    shapes = Counter(re.sub(r"[A-Za-z_]\w*", "a", re.sub(r"\d+", "9", x.strip())) for x in full[:20000])
+    shapes = Counter(re.sub(r"[A-Za-z_]\w*", "a", re.sub(r"\d+", "9", x.strip())) for x in full)
     top_shapes = sum(c for _, c in shapes.most_common(5)) / max(1, len(full))
     literal, comment, rest = 0, 0, []
     at = 0
@@ -184,7 +184,7 @@ def judge(df: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
         .when(F.col("tool_notice"), "tool")
         .when(F.col("bundle_name") | code & packed, "bundle")
         .when(code & (F.col("literals") > DATA_SHARE) & (F.col("log_size") > math.log(200)), "data")
-        .when(code & (score >= THRESHOLD) | (F.col("tool_place") | F.col("tool_name")) & (score >= 0.2), "tool")
+        .when((score >= THRESHOLD) | (F.col("tool_place") | F.col("tool_name")) & (score >= 0.2), "tool")
     )
     return scored.select("file_id", "score", kind.alias("kind"))
 

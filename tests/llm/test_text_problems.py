@@ -309,6 +309,16 @@ def test_held_out_accuracy(spark, empty):
     assert handwritten.find_machine_made(empty("file_id long, file_path string, text string")).count() == 0
 
 
+def test_score_of_other_extensions_and_shapes_of_all_lines(spark):
+    rng = random.Random(6)
+    rows = [(i, f"r/src/F{i}.java", "// Code generated by protoloom. DO NOT EDIT.\n" + _getters(rng.randint(8, 40), i)) if i % 2 else (i, f"r/src/f{i}.py", _by_hand(rng)) for i in range(160)]
+    rows += [(1000, "r/a.yml", _getters(20, 7)), (1001, "r/b.sql", _getters(12, 8)), (1002, "r/c.md", _by_hand(rng)), (1003, None, _by_hand(rng))]
+    got = {r["file_id"]: r["kind"] for r in handwritten.find_machine_made(spark.createDataFrame(rows, "file_id long, file_path string, text string")).where("file_id >= 1000").collect()}
+    assert got == {1000: "tool", 1001: "tool"}
+    several = ["".join("+-"[k >> b & 1] for b in range(15)) for k in range(20_000)]
+    assert handwritten.numbers("\n".join(several + ["a = 1"] * 20_000))[handwritten.NUMBERS.index("shapes")] > 0.5
+
+
 # ---------------------------------------------------------------- all queries
 
 
