@@ -26,7 +26,7 @@ SHARED_RUN, SHARED_ITEMS = 10, 6
 BLOCK_WORDS = 2_000_000
 
 _WORD = re.compile(r"[^\W_]+")
-_MARKUP = re.compile(r"<[a-zA-Z/][^<>\n]{0,60}>|&(?:[a-z]{2,6}|#\d{1,5});|\\[nrt]|[​­‌‍﻿]")
+_MARKUP = re.compile(r"<[a-zA-Z/][^<>\n]{0,60}>|<[a-zA-Z][\w:\-]*(?:\s+[\w:@.\-]+\s*=\s*(?:\"[^\"\n]*\"|'[^'\n]*'))+\s*/?>|&(?:[a-z]{2,6}|#\d{1,5});|\\[nrt]|[​­‌‍﻿]")
 _SPLIT_WORD = re.compile(r"(?<=[a-zà-ÿ])-[ \t]*\r?\n[ \t]*(?:(?://|[#>*])[ \t]*)?(?=[a-zà-ÿ])")
 _PRIME = np.uint64(1099511628211)
 
@@ -133,8 +133,6 @@ class Index:
                 item, q = self.where[k]
                 k += 1
                 d = p - int(start[doc])
-                if (doc, item) in best and best[doc, item][1] >= 3 * LEAST_WORDS:
-                    continue
                 if any(a <= d < b and abs((d - q) - diagonal) <= 6 for a, b, diagonal in seen.get((doc, item), ())):
                     continue
                 _, words_i, own = self.items[item]
@@ -145,21 +143,34 @@ class Index:
         return [(doc, self.items[item][0], a, n, changes) for (doc, item), (a, n, changes) in best.items()]
 
 
-def _grow(doc: np.ndarray, d: int, item: list[int], own: list[bool], q: int, step: int) -> list[tuple[int, int, int]]:
-    """Runs of equal words met from (d, q) in one direction: (words of the item, changes before the run, words of the document)."""
+def _grow(doc: np.ndarray, d: int, item: list[int], own: list[bool], q: int, step: int, before: int) -> list[tuple[int, int, int, int]]:
+    """Runs of equal words met from (d, q) in one direction: (its words, changes before the run, words of the document with
+    those of the gap before it, words of the item in that gap).
+    before: equal words already met in the other direction."""
     n, m = len(doc), len(item)
 
     def same(i: int, j: int) -> bool:
         return 0 <= i < n and 0 <= j < m and own[j] and int(doc[i]) == item[j]
 
-    runs, changes, gap_i, gap_d, length, credit = [], 0, 0, 0, 0, 3
+    def further() -> tuple[int, int] | None:
+        """The nearest three words that agree again, as far as the changes that the item's words may bear reach."""
+        most = (before + sum(r[0] for r in runs) + (m - q if step > 0 else q + 1)) // WORDS_PER_CHANGE
+        places: dict[int, list[int]] = {}
+        for b in range(most + 1):
+            if not 0 <= q + b * step < m or not own[q + b * step]:
+                break
+            places.setdefault(item[q + b * step], []).append(b)
+        met = [(max(a, b), abs(a - b), a, b) for a in range(most + 1) if 0 <= d + a * step < n for b in places.get(int(doc[d + a * step]), ()) if all(same(d + (a + k) * step, q + (b + k) * step) for k in (1, 2))]
+        return min(met)[2:] if met else None
+
+    runs, changes, gap_i, gap_d, length = [], 0, 0, 0, 0
     while True:
         if same(d, q):
             length, d, q = length + 1, d + step, q + step
             continue
         if length:
-            runs.append((length + gap_i, changes, length + gap_d))
-        # The next words that agree again: changed, added or missing words, at most three, two of which must then be equal.
+            runs.append((length, changes, length + gap_d, gap_i))
+        # The next words that agree again: changed, added or missing words, at most three at first, two of which must then be equal.
         for cost in (1, 2, 3):
             moves = [(cost, cost)] + [(a, b) for a in range(cost + 1) for b in range(cost + 1) if max(a, b) == cost and a != b]
             found = next(((a, b) for a, b in moves if same(d + a * step, q + b * step) and (same(d + (a + 1) * step, q + (b + 1) * step) or cost == 1 and not 0 <= q + (b + 1) * step < m)), None)
@@ -167,29 +178,38 @@ def _grow(doc: np.ndarray, d: int, item: list[int], own: list[bool], q: int, ste
                 break
             found = None
         if not found:
-            return runs
+            found = further()
+            if not found:
+                return runs
+            cost = max(found)
         changes, gap_d, gap_i, length = cost, found[0], found[1], 0
         d, q = d + found[0] * step, q + found[1] * step
 
 
 def stretch(doc: np.ndarray, d: int, item: list[int], own: list[bool], q: int) -> tuple[int, int, int, int]:
     """The longest stretch through the seed (d, q): (first, end word of the document looked at, words of the item, changes)."""
-    right, left = _grow(doc, d, item, own, q, 1), _grow(doc, d - 1, item, own, q - 1, -1)
+    run = 0
+    while run < min(d, q) and own[q - run - 1] and int(doc[d - run - 1]) == item[q - run - 1]:
+        run += 1
+    right = _grow(doc, d, item, own, q, 1, run)
+    left = _grow(doc, d - 1, item, own, q - 1, -1, sum(r[0] for r in right))
     # The seed's run goes on to the left without a change.
     if left and left[0][1] == 0:
         head, left = left[0], left[1:]
     else:
-        head = (0, 0, 0)
-    base = (right[0][0] + head[0], right[0][2] + head[2]) if right else head[::2]
-    # All runs in order, as (words, changes before it, words of the document); any part of the chain may be the stretch.
-    chain = [(w, left[k + 1][1] if k + 1 < len(left) else 0, dd) for k, (w, _, dd) in reversed(list(enumerate(left)))]
-    chain += [(base[0], left[0][1] if left else 0, base[1]), *right[1:]]
+        head = (0, 0, 0, 0)
+    base = (right[0][0] + head[0], right[0][2] + head[2]) if right else head[:3:2]
+    # All runs in order, as (words, changes before it, words of the item in the gap before it); any part of the chain may be the
+    # stretch, which begins and ends with a run.
+    gaps = [(x[1], x[3]) for x in left] + [(0, 0)]
+    chain = [(left[k][0], *gaps[k + 1]) for k in reversed(range(len(left)))]
+    chain += [(base[0], *gaps[0]), *[(x[0], x[1], x[3]) for x in right[1:]]]
     most = (0, 0)
     for i in range(len(chain)):
         n, c = chain[i][0], 0
         for j in range(i, len(chain)):
             if j > i:
-                n, c = n + chain[j][0], c + chain[j][1]
+                n, c = n + chain[j][2] + chain[j][0], c + chain[j][1]
             if c * WORDS_PER_CHANGE <= n and n > most[0]:
                 most = (n, c)
     before, after = sum(x[2] for x in left), sum(x[2] for x in right[1:])

@@ -127,6 +127,18 @@ def test_leaks_with_changes_and_layout(spark, empty):
     assert leakage.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), empty("item_id long, text string")).count() == 0
 
 
+def test_leaks_over_wider_gaps(spark):
+    w = [f"i{k}" for k in range(150)]
+    other = [f"o{k}" for k in range(40)]
+    tag = '<span class="a-rather-long-class-name another-long-class-name" title="words that the item does not have at all">'
+    docs = [
+        (1, other[:9] + w[:19] + other[10:14] + w[19:38] + other[20:]), (2, w[:19] + w[23:42]), (3, w[:19] + other[:4] + w[23:42]), (4, w[:10] + other[:4] + w[14:33]),
+        (5, w[:19] + other[:9] + w[19:38]), (6, w[:12] + [tag] + w[12:24]), (7, w[:70] + other[:30] + w[60:]), (8, w[:130]),
+    ]
+    got = leakage.find_leaks(spark.createDataFrame([(d, " ".join(x)) for d, x in docs], "doc_id long, text string"), spark.createDataFrame([(1, " ".join(w))], "item_id long, text string"))
+    assert {r["doc_id"]: (r["n_words"], r["n_changes"]) for r in got.collect()} == {1: (38, 4), 2: (42, 4), 3: (42, 4), 4: (33, 4), 6: (24, 0), 7: (90, 0), 8: (130, 0)}
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     items = spark.createDataFrame([(i, " ".join(f"a{i}b{j}" for j in range(30))) for i in range(20)], "item_id long, text string")
     docs = spark.createDataFrame([(100 + i, " ".join(f"a{i}b{j}" for j in range(25))) for i in range(20)], "doc_id long, text string")
