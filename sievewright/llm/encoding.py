@@ -274,7 +274,8 @@ class Garbling:
         return out
 
     def _letters(self, text: str, hits: list, taken: set[int]) -> list:
-        """One wrong character for one letter: counts only inside words, by the family that makes most words whole."""
+        """One wrong character for one letter: counts only inside words, by the family that makes most words of the line whole,
+        of equals the one that does most in the text. Hits that it can't put right become spans without an original."""
         lines: dict[int, list[int]] = defaultdict(list)
         for a, b, p, _ in hits:
             before, after = text[a - 1 : a], text[b : b + 1]
@@ -292,7 +293,8 @@ class Garbling:
         if not lines:
             return []
         votes: Counter = Counter()
-        for at in lines.values():
+        by_line: dict[int, Counter] = {start: Counter() for start in lines}
+        for start, at in lines.items():
             for i in at:
                 w = _word(text, i)[2]
                 for family, table in self.one.items():
@@ -300,13 +302,15 @@ class Garbling:
                         plain = "".join(table.get(c, c) for c in w)
                         if _whole(plain):
                             votes[family] += 1
+                            by_line[start][family] += 1
         if not votes:
             return []
         order = [f for f, _ in sorted(votes.items(), key=lambda x: (-x[1], list(self.one).index(x[0])))]
         out = []
-        family = order[0]
-        table = self.one[family]
-        for start in lines:
+        for start, at in lines.items():
+            family = max(order, key=by_line[start].__getitem__)  # the first of equals
+            table = self.one[family]
+            done = set()
             end = text.find("\n", start)
             for m in re.finditer(r"[^\s()\[\]{}`\"/.,;:!?]+", text[start : end if end >= 0 else len(text)]):
                 w = m.group()
@@ -318,6 +322,10 @@ class Garbling:
                 a = start + m.start()
                 if plain != w and _whole(plain) and a not in taken:
                     out.append((a, a + len(w), family, plain))
+                    done.update(range(a, a + len(w)))
+            for a, b, w in sorted({_word(text, i) for i in at if i not in done and i not in taken}):
+                if not taken.intersection(range(a, b)) and not done.intersection(range(a, b)) and not re.search(rf"[\x80-\x9f{LOST}]", w):
+                    out.append((a, b, "unknown", None))
         return out
 
 

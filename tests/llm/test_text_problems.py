@@ -35,6 +35,13 @@ def test_russian(true, wrong):
     assert spans and plain.split()[3] in fixed and fixed.startswith("Верный текст остаётся.")
 
 
+def test_passages_of_different_single_byte_pairs():
+    one, two = "Größere Prüfungen für die Übergabe später", "Größte Änderung für spätere Rückgabe"
+    first, second = one.encode("latin-1").decode("cp437"), two.encode("latin-1").decode("mac_roman")
+    spans, fixed = encoding.repair("\n".join(["A plain line."] + [first] * 3 + [second] * 2))
+    assert fixed == "\n".join(["A plain line."] + [one] * 3 + [two] * 2) and all(p is not None for *_, p in spans)
+
+
 def test_japanese_and_lost():
     plain = "テストでは正常系のみを確認しており、境界値の検証はまだありません。"
     assert plain in encoding.repair(encoding._wrong(plain.encode("cp932"), "cp1252"))[1]
