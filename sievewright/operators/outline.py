@@ -151,3 +151,18 @@ def chunked(df: DataFrame, limit: int, id_column: str = "file_id", path_column:
                 yield i, path, 0, None, False, f"{type(e).__name__}: {e}"
 
     return arrow_map(rows, per_batch, PIECES)
+
+
+def captures(df: DataFrame, id_column: str = "file_id", path_column: str = "file_path", text_column: str = "text") -> DataFrame:
+    """id, type, start, end of every declaration of the files with a scanner; a scan that fails gives one row with error alone."""
+    rows = df.select(F.col(id_column).alias("id"), suffix(F.col(path_column)).alias("ext"), F.col(text_column).alias("text")).where(F.col("text").isNotNull() & F.col("ext").isin(*PARSEABLE))
+
+    def per_batch(c: dict[str, list]) -> Iterator[tuple]:
+        for i, ext, text in zip(c["id"], c["ext"], c["text"]):
+            try:
+                found = [(i, x.kind, x.start, x.end, None) for x in items_of(text, ext)]
+            except Exception as e:  # noqa: BLE001
+                found = [(i, None, None, None, f"{type(e).__name__}: {e}")]
+            yield from found
+
+    return arrow_map(rows, per_batch, f"id {rows.schema['id'].dataType.simpleString()}, type string, start int, end int, error string").withColumnRenamed("id", id_column)

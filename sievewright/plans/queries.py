@@ -12,9 +12,10 @@ from ..functions.arrow import materialize, table
 from ..functions.tokens import token_count, token_count_regex, truncate, was_truncated
 from ..operators import cache as caching
 from ..operators.judge import LexicalJudge, terms
-from ..operators.outline import chunked, outlines
+from ..operators.outline import captures, chunked, outlines
 from ..operators.packing import pack, with_singletons
 from ..operators.relational import not_within, sample_exactly, sorted_concat, survivors
+from ..operators.scanners import CLASS_LIKE
 from ..sources.scan import as_files, existing, missing
 from . import pipeline, prompts
 
@@ -208,6 +209,16 @@ def stable_sort_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return spans.select("path", "type", "start", F.row_number().over(Window.partitionBy("path").orderBy("start", "end", "type")).alias("place"))
 
 
+@query()
+def captures_not_within(spark: SparkSession, folder: str) -> DataFrame:
+    """containment_antijoin over all captures of source_text, with the place of each that is left within its file; a failed scan is a row with its error."""
+    spans = captures(table(spark, folder, "source_text", True))
+    keep = F.col("type").isin(*CLASS_LIKE)
+    ranked = spans.where("error is null").withColumn("type", F.concat(F.when(keep, "z").otherwise("a"), "type"))
+    left = not_within(ranked, F.col("type").startswith("z"), "file_id").withColumn("type", F.substring("type", 2, 1 << 30))
+    return left.select("file_id", "type", "start", "end", F.row_number().over(Window.partitionBy("file_id").orderBy("start", "end", "type")).alias("place"), "error").unionByName(spans.where("error is not null").withColumn("place", F.lit(None).cast("int")))
+
+
 def _of_language(spark: SparkSession, folder: str, extension: str) -> DataFrame:
     return table(spark, folder, "source_text", True).where(X.suffix(F.col("file_path")) == extension)
 

@@ -152,3 +152,21 @@ def test_condensing_of_all_notes(spark, tmp_path):
     got = QUERIES["semantic_condense_notes"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [(k, "", f"{x}\n\n{x}") for k, x in enumerate(once)] + large
     assert len(groups) > 3 and len(large) == 1
+
+
+def test_captures_not_within_equal_brute_force(spark, tmp_path):
+    from sievewright.operators.scanners import CLASS_LIKE, items_of
+    from sievewright.plans.queries import QUERIES
+
+    java = "import x.Y;\nclass A {\n  int f;\n  void m() { }\n  class B { void n() { } }\n}\ninterface C { void p(); }\n"
+    files = [(1, "a/A.java", java), (2, "a/b.PY", "def f():\n    pass\n\nclass K:\n    def g(self):\n        pass\n"), (3, "c.cs", "class D { int P { get; } void M() { } }"), (4, "d.md", java), (5, "e.java", None), (6, "f.java", "")]
+    spark.createDataFrame(files, "file_id long, file_path string, text string").write.parquet(str(tmp_path / "source_text.parquet"))
+    want = []
+    for i, path, text in files:
+        if text is None or path.endswith(".md"):
+            continue
+        spans = [(x.kind, x.start, x.end) for x in items_of(text, path[path.rindex(".") :].lower())]
+        left = [b for b in spans if not any(a != b and a[0] in CLASS_LIKE and a[1] <= b[1] and b[2] <= a[2] for a in spans)]
+        want += [(i, *b, k, None) for k, b in enumerate(sorted(left, key=lambda b: (b[1], b[2], b[0])), 1)]
+    got = QUERIES["captures_not_within"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and {r["file_id"] for r in got} == {1, 2, 3} and len(got) < 9
