@@ -312,6 +312,8 @@ class Line:
             self.name()
 
     def assignment(self) -> None:
+        if self.is_name() and self.t[self.i + 1] == ":=":
+            raise Bad(self.i + 1, "unexpected :=")
         at = self.i
         form = self.value()
         k = self.t[self.i]

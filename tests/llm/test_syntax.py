@@ -102,6 +102,10 @@ def test_errors_beyond_the_first_many():
     assert [a for a, _ in errors_of(deep + "  void g() { int x = 1; { int y = ; } }\n}\n", "java")] == [1, 2]
 
 
+def test_bare_assignment_expression():
+    assert errors_of("x := 1\n", "py") and not errors_of("(x := 1)\nwhile a := b:\n    f(y := 2)\n", "py")
+
+
 def test_recovery_of_json():
     for text, n in (('{"a": 1,}', 1), ("[1 2, 3 4]", 2), ('{"a": [1, 2}', 1), ('{"a": [1, 2, "b" 3}', 1), ('{"a": 1}, {"b": 2}', 1), ('[{"a" 1}, {"b": }, [,], {c: 1}]', 5), ('[1 {"a" 2}]', 2), ('{"a" 1', 2), ("[" * 50_000 + "}" * 50_000, 2), ("]", 1)):
         assert len(errors_of(text, "json")) == n, (text[:60], errors_of(text, "json")[:9])
