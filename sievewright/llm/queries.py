@@ -111,7 +111,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return p1_kinds(spark, folder).select("file_id")
 
 
-QUERIES |= {f.__name__: f for f in (p1_found, p1_kinds)}
+def p1_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    return handwritten.evidence(table(spark, folder, "source_text", True))
+
+
+QUERIES |= {f.__name__: f for f in (p1_found, p1_kinds, p1_evidence)}
 
 
 def p3_parsed(spark: SparkSession, folder: str) -> DataFrame:
