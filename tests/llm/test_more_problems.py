@@ -13,23 +13,23 @@ def test_score_without_any_notice(spark):
     """Notices that no list holds: the score finds tools' files, and copies that several repositories hold."""
     rng = random.Random(9)
     rows = []
-    for i in range(400):
-        if i % 4 == 1:
-            note = "// Code generated by protoloom. DO NOT EDIT.\n" if i % 8 == 1 else "// Brought forth anew each night.\n"
+    for i in range(1200):
+        if i % 8 == 1:
+            note = "// Code generated by protoloom. DO NOT EDIT.\n" if i % 16 == 1 else "// Brought forth anew each night.\n"
             rows.append((i, f"r{i % 7}/src/F{i}.java", note + _getters(rng.randint(8, 40), i)))
         else:
             rows.append((i, f"r{i % 7}/src/f{i}.py", _by_hand(rng)))
-    for k in range(20):
+    for k in range(12):
         library = _by_hand(rng)
         for j in range(4):
             note = "# Copyright (c) the foolib contributors\n" if j < 2 else ""
-            rows.append((1000 + 10 * k + j, f"s{j}/app/lib{k}.py", note + library))
+            rows.append((5000 + 10 * k + j, f"s{j}/app/lib{k}.py", note + library))
     got = {r["file_id"]: r for r in handwritten.judge(spark.createDataFrame(rows, "file_id long, file_path string, text string")).collect()}
-    bare = [got[i] for i in range(400) if i % 8 == 5]
+    bare = [got[i] for i in range(1200) if i % 16 == 9]
     assert not any(r["mark"] for r in bare) and sum(r["kind"] == "tool" for r in bare) >= 0.9 * len(bare)
-    copies = [r for i, r in got.items() if i >= 1000 and not r["mark"]]
+    copies = [r for i, r in got.items() if i >= 5000 and not r["mark"]]
     assert sum(r["kind"] == "copy" for r in copies) >= 0.9 * len(copies)
-    by_hand = [got[i] for i in range(400) if i % 4 != 1]
+    by_hand = [got[i] for i in range(1200) if i % 8 != 1]
     assert sum(r["kind"] is not None for r in by_hand) <= 0.03 * len(by_hand)
 
 
