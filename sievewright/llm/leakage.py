@@ -20,12 +20,16 @@ from .base import arrow_map
 K, WINDOW = 4, 2
 #: Words of a stretch that gives an item away, and how many words there may be to each change: "about one in eight" is read as no more than one in six.
 LEAST_WORDS, WORDS_PER_CHANGE = 20, 6
-#: A run of so many words that stands in this many items is a standing instruction.
-SHARED_RUN, SHARED_ITEMS = 10, 6
+#: A standing instruction is an end of so many words at least, of no more than half the item, that items carry behind so many
+#: different wordings, of which there are at least this share of the suite's different texts.
+SHARED_RUN, SHARED_ITEMS, SHARED_SHARE = 10, 6, 0.01
+#: Words before such an end, and of an item's opening, by which wordings differ.
+CONTEXT, OPENING = 3, 6
 #: Words of items that one block's index may hold.
 BLOCK_WORDS = 2_000_000
 
-_WORD = re.compile(r"[^\W_]+")
+#: Signs of scripts that are written without blanks are words by themselves.
+_WORD = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]|[^\W_\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]+")
 _MARKUP = re.compile(r"<[a-zA-Z/][^<>\n]{0,60}>|<[a-zA-Z][\w:\-]*(?:\s+[\w:@.\-]+\s*=\s*(?:\"[^\"\n]*\"|'[^'\n]*'))+\s*/?>|&(?:[a-z]{2,6}|#\d{1,5});|\\[nrt]|[​­‌‍﻿]")
 _SPLIT_WORD = re.compile(r"(?<=[a-zà-ÿ])-[ \t]*\r?\n[ \t]*(?:(?://|[#>*])[ \t]*)?(?=[a-zà-ÿ])")
 _PRIME = np.uint64(1099511628211)
@@ -126,18 +130,19 @@ class Index:
         lo = np.searchsorted(self.prints, g[at], "left")
         hit = (lo < len(self.prints)) & (self.prints[np.minimum(lo, len(self.prints) - 1)] == g[at])
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        seen: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        seen: dict[tuple[int, int], set[tuple[int, int]]] = {}
         for p, k in zip(at[hit].tolist(), lo[hit].tolist()):
             doc = int(owner[p])
             while k < len(self.prints) and self.prints[k] == g[p]:
                 item, q = self.where[k]
                 k += 1
                 d = p - int(start[doc])
-                if any(a <= d < b and abs((d - q) - diagonal) <= 6 for a, b, diagonal in seen.get((doc, item), ())):
+                done = seen.setdefault((doc, item), set())
+                if (d, q) in done:
                     continue
                 _, words_i, own = self.items[item]
-                a, b, n, changes = stretch(docs[doc], d, words_i, own, q)
-                seen.setdefault((doc, item), []).append((a, b, d - q))
+                a, n, changes, run = stretch(docs[doc], d, words_i, own, q)
+                done.update(run)  # a hit in the same run of equal words gives the same stretch
                 if n >= LEAST_WORDS and ((doc, item) not in best or n > best[doc, item][1]):
                     best[doc, item] = a, n, changes
         return [(doc, self.items[item][0], a, n, changes) for (doc, item), (a, n, changes) in best.items()]
@@ -186,59 +191,104 @@ def _grow(doc: np.ndarray, d: int, item: list[int], own: list[bool], q: int, ste
         d, q = d + found[0] * step, q + found[1] * step
 
 
-def stretch(doc: np.ndarray, d: int, item: list[int], own: list[bool], q: int) -> tuple[int, int, int, int]:
-    """The longest stretch through the seed (d, q): (first, end word of the document looked at, words of the item, changes)."""
+def stretch(doc: np.ndarray, d: int, item: list[int], own: list[bool], q: int) -> tuple[int, int, int, list[tuple[int, int]]]:
+    """The longest stretch through the seed (d, q): (its first word of the document, words of the item, changes, all places of
+    the run of equal words that the seed lies in)."""
     run = 0
     while run < min(d, q) and own[q - run - 1] and int(doc[d - run - 1]) == item[q - run - 1]:
         run += 1
     right = _grow(doc, d, item, own, q, 1, run)
     left = _grow(doc, d - 1, item, own, q - 1, -1, sum(r[0] for r in right))
     # The seed's run goes on to the left without a change.
+    head = 0
     if left and left[0][1] == 0:
-        head, left = left[0], left[1:]
-    else:
-        head = (0, 0, 0, 0)
-    base = (right[0][0] + head[0], right[0][2] + head[2]) if right else head[:3:2]
-    # All runs in order, as (words, changes before it, words of the item in the gap before it); any part of the chain may be the
-    # stretch, which begins and ends with a run.
-    gaps = [(x[1], x[3]) for x in left] + [(0, 0)]
-    chain = [(left[k][0], *gaps[k + 1]) for k in reversed(range(len(left)))]
-    chain += [(base[0], *gaps[0]), *[(x[0], x[1], x[3]) for x in right[1:]]]
-    most = (0, 0)
+        head, left = left[0][0], left[1:]
+    own_run = head + (right[0][0] if right else 0)
+    same = [(d - head + k, q - head + k) for k in range(own_run)]
+    # All runs in order, as (words, changes before it, words of the item in the gap before it, first word in the document); any
+    # part of the chain may be the stretch, which begins and ends with a run.
+    chain: list[tuple[int, int, int, int]] = []
+    at = d - head
+    for n, _, with_gap, _ in left:
+        at -= with_gap
+        chain.append((n, 0, 0, at))
+    chain.reverse()
+    gaps = [(x[1], x[3]) for x in left][::-1]  # of a run to the left, what lies behind it
+    chain = [(x[0], *(gaps[k - 1] if k else (0, 0)), x[3]) for k, x in enumerate(chain)]
+    chain.append((own_run, *(gaps[-1] if gaps else (0, 0)), d - head))
+    at = d - head + own_run
+    for n, changes, with_gap, gap in right[1:]:
+        at += with_gap
+        chain.append((n, changes, gap, at - n))
+    most = (0, 0, d)
     for i in range(len(chain)):
         n, c = chain[i][0], 0
         for j in range(i, len(chain)):
             if j > i:
                 n, c = n + chain[j][2] + chain[j][0], c + chain[j][1]
             if c * WORDS_PER_CHANGE <= n and n > most[0]:
-                most = (n, c)
-    before, after = sum(x[2] for x in left), sum(x[2] for x in right[1:])
-    return max(0, d - head[2] - before), d - head[2] + base[1] + after, *most
+                most = (n, c, chain[i][3])
+    return max(0, most[2]), most[0], most[1], same
 
 
 LEAKS = "item_id bigint, doc_id bigint, first_word int, n_words int, n_changes int"
 
 
-def shared_runs(items: DataFrame, least_items: int = SHARED_ITEMS) -> np.ndarray:
-    """Hashes of the runs of words that many items carry."""
+def _ends(h: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(place, hash of all words from it on) of the ends of an item that may be a standing instruction."""
+    end = 0
+    for p in range(len(h) - 1, (len(h) - 1) // 2, -1):
+        end = ((end ^ int(h[p])) * 0x100000001B3 + p - len(h)) % (1 << 64)
+        if len(h) - p >= SHARED_RUN:
+            yield p, end
 
-    def per_batch(c: dict[str, list]) -> Iterator[tuple]:
-        for i, text in zip(c["item_id"], c["text"]):
-            for x in np.unique(grams(hashes(text), SHARED_RUN)).view(np.int64).tolist():
-                yield x, i
 
-    runs = arrow_map(items.select("item_id", "text"), per_batch, "run bigint, item_id bigint")
-    many = runs.groupBy("run").agg(F.countDistinct("item_id").alias("n")).where(F.col("n") >= least_items)
-    return np.array([r["run"] for r in many.select("run").toLocalIterator()], dtype=np.int64).view(np.uint64)
+def shared_runs(items: DataFrame) -> np.ndarray:
+    """Hashes of the runs of words within standing instructions.
+
+    Copies and versions of an item share its words before an end, or its opening, and so count once; the number of
+    instructions is bounded by the items, which are the query set."""
+    suite = F.coalesce(F.col("suite").cast("string"), F.lit("")) if "suite" in items.columns else F.lit("")
+    signed = lambda x: int(x) - (1 << 64) if int(x) >= 1 << 63 else int(x)
+
+    def per_batch(c: dict[str, list]) -> Iterator[tuple]:
+        for suite, text in zip(c["suite"], c["text"]):
+            h = hashes(text)
+            opening = hash(tuple(h[:OPENING].tolist()))
+            for p, end in _ends(h):
+                yield suite, signed(end), hash(tuple(h[p - CONTEXT : p].tolist())), opening
+
+    texts = items.select(suite.alias("suite"), "text").distinct()
+    totals = texts.groupBy("suite").agg(F.count("*").alias("n"))
+    ends = arrow_map(texts, per_batch, "suite string, end bigint, context bigint, opening bigint")
+    ends = ends.groupBy("suite", "end").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("opening").alias("openings"))
+    enough = F.least("contexts", "openings")
+    many = ends.join(totals, "suite").groupBy("end").agg(F.sum(enough).alias("k"), F.max(enough / F.col("n")).alias("share"))
+    many = many.where((F.col("k") >= SHARED_ITEMS) & (F.col("share") >= SHARED_SHARE)).select("end")
+    found = frozenset(r["end"] for r in many.toLocalIterator())
+
+    def runs(c: dict[str, list]) -> Iterator[tuple]:
+        for text in c["text"]:
+            h = hashes(text)
+            for p, end in _ends(h):
+                if signed(end) in found:
+                    for x in grams(h[p:], SHARED_RUN).view(np.int64).tolist():
+                        yield (x,)
+
+    if not found:
+        return np.zeros(0, np.uint64)
+    inside = arrow_map(texts.select("text"), runs, "run bigint").distinct()
+    return np.array([r["run"] for r in inside.toLocalIterator()], dtype=np.int64).view(np.uint64)
 
 
 def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """One row for each document and each item it gives away, in LEAKS' columns, with the longest stretch.
 
-    The items are the stated query set; their standing instructions don't count. Null, empty and short texts give no rows on
+    The items are the stated query set; their standing instructions don't count, by suite where items have that column. Null, empty and short texts give no rows on
     either side; copies of a document or an item count by their own ids; an empty table gives no rows; other columns are not
     looked at. Documents are read once for each BLOCK_WORDS words of items, and no document is shuffled."""
-    items = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id is not null and text is not null")
+    suite = ["suite"] if "suite" in items.columns else []
+    items = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text", *suite).where("item_id is not null and text is not null")
     size = items.select(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-size // (4 * BLOCK_WORDS)))
     shared = shared_runs(items)

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from sievewright.llm import handwritten
+from sievewright.llm import handwritten, leakage
 
 from .test_text_problems import _by_hand, _getters
 
@@ -36,3 +36,36 @@ def test_score_without_any_notice(spark):
 @pytest.mark.parametrize("top,tool", [("// Writes files headed DO NOT EDIT for the clients.\n", False), ("# Makes what is marked 'code generated by x'\n", False), ("/*\n * This file was automatically created by x\n */\n", True), ("// x 1.2. Do not edit.\n", True), ("; @generated\n", True)])
 def test_notice_opens_its_sentence(top, tool):
     assert handwritten.notices(top) == (tool, False)
+
+
+# ---------------------------------------------------------------- 7: leaks
+
+
+def _frames(spark, docs, items):
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string, suite string")
+
+
+def test_copies_and_versions_of_an_item_are_no_instruction(spark):
+    own = [f"w{k}" for k in range(60)]
+    standing = [f"s{k}" for k in range(15)]
+    items = [(k, " ".join(own), "a") for k in range(60)]  # copies
+    items += [(100 + k, " ".join(own[:20] + [f"x{k}"] + own[21:]), "a") for k in range(10)]  # versions, changed in the middle
+    items += [(200 + k, " ".join([f"y{k}"] + own[1:]), "a") for k in range(10)]  # and in the opening
+    items += [(300 + k, " ".join([f"o{k}n{j}" for j in range(30)] + standing), "a") for k in range(20)]
+    docs = [(1, "before it " + " ".join(own) + " behind it"), (2, " ".join(standing * 3)), (3, " ".join([f"o3n{j}" for j in range(5, 30)] + standing))]
+    got = {(r["item_id"], r["doc_id"]): r["n_words"] for r in leakage.find_leaks(*_frames(spark, docs, items)).collect()}
+    assert got == {**{(i, 1): got.get((i, 1)) for i, *_ in items if i < 300}, (303, 3): 25}
+    assert all(n >= 39 for (i, d), n in got.items() if d == 1)
+
+
+def test_longest_stretch_behind_a_shorter_one(spark):
+    w = [f"i{k}" for k in range(300)]
+    docs = [(1, " ".join(w[:65] + ["gap"] * 40 + w[100:235])), (2, " ".join(w[100:235] + ["gap"] * 40 + w[:65] + w[40:65]))]
+    got = {r["doc_id"]: (r["n_words"], r["first_word"]) for r in leakage.find_leaks(*_frames(spark, docs, [(1, " ".join(w), "a")])).collect()}
+    assert got == {1: (135, 105), 2: (135, 0)}
+
+
+def test_text_without_blanks(spark):
+    text = "テストでは正常系のみを確認しており境界値の検証はまだありません"
+    got = leakage.find_leaks(*_frames(spark, [(1, "前書き。" + text + "。後書き"), (2, "ありません")], [(1, text, None)])).collect()
+    assert [(r["item_id"], r["doc_id"]) for r in got] == [(1, 1)]
