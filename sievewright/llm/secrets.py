@@ -2,7 +2,8 @@
 
 Method: files are cut into chunks of whole lines; each segment of chunks gets an inverted index from trigrams to chunks.
 From each detection regex the trigrams that every match must hold are derived (an AND of ORs of literals); the postings
-are intersected, and the regex runs on the chunks that remain. Regexes match within one line, so no chunk needs another.
+are intersected, and the regex runs on the chunks that remain. A match may go on over the lines that follow, so each chunk
+carries as many more as a match can reach, and a match belongs to the chunk where it begins. Lines bound values, nothing else.
 """
 
 from __future__ import annotations
@@ -23,7 +24,10 @@ except ImportError:  # before Python 3.11
     import sre_constants as sre
     import sre_parse
 
-CHUNK = 512
+CHUNK = 256
+#: Lines with something in them that a match can reach behind the one where it begins.
+REACH = 4
+_FOLLOWING = re.compile(rf"(?:\s*+[^\n]*+(?:\n|\Z)){{0,{REACH}}}")
 #: Characters of files that one segment of the index covers.
 SEGMENT = 4 << 20
 
@@ -32,33 +36,35 @@ _NAMES = (
     r"passw(?:or[dt]|d|ort)|passphrase|passwort|pass_?phrase|pwd|_pass|_pw|secret|token|credential|contrase(?:na|ña)|mot_?de_?passe|senha|heslo|haslo|bearer|authorization"
     r"|(?:api|access|account|auth|encryption|signing|private|master|salt|storage|shared|service|license|client|crypt)[_\-]?key"
 )
-_STRING = r"""[fFbBrRuU@$]{0,2}(?P<q>["'`])(?P<v>(?:\\.|(?!(?P=q))[^\\\n]){1,400})(?P=q)"""
-_MORE = r"""(?:\s{0,4}\+\s{0,4}(?P<q2>["'])(?P<v2>(?:\\.|(?!(?P=q2))[^\\\n]){1,200})(?P=q2))?"""
+_STRING = r"""[fFbBrRuU@$]{0,2}(?P<q>["'`])(?P<v>(?:\\.|(?!(?P=q))[^\\\n])+)(?P=q)"""
+_MORE = r"""(?:\s{0,40}\+\s{0,40}(?P<q2>["'])(?P<v2>(?:\\.|(?!(?P=q2))[^\\\n])+)(?P=q2))?"""
 #: name -> (regex with the group v, may the value be as plain as a password with spaces ruled out).
 DETECTORS: dict[str, str] = {
-    "assigned": rf"""(?i)(?:{_NAMES})(?!_?(?:hash|sha\d+|md5|checksum|fingerprint|hint|path|file|ur[il])\d*\b)[\w.\-]{{0,40}}["']?\]?\)?\s{{0,3}}(?:=>|:=|\|\||\?\?|\bor\b|[:=,])\s{{0,3}}{_STRING}{_MORE}""",
-    "attribute": rf"""(?i)(?:{_NAMES})[\w.\-]{{0,40}}["']\s+value\s{{0,2}}=\s{{0,2}}(?P<q>["'])(?P<v>[^"'\n]{{1,400}})(?P=q)""",
-    "element": rf"""(?i)<[\w.\-:]{{0,30}}(?:{_NAMES})[\w.\-:]{{0,30}}>(?P<v>[^<>\n]{{6,200}})</""",
-    "setting": rf"""(?im)^[ \t]*(?:-[ \t]+|export[ \t]+|set[ \t]+|ENV[ \t]+)?[\w.\-]{{0,40}}(?:{_NAMES})[\w.\-]{{0,40}}[ \t]*[=:][ \t]*(?P<v>[^\s"'#;{{\[(][^\s"',;]{{5,400}})[ \t]*\r?(?:$|#)""",
-    "address": r"""(?i)\b[a-z][a-z0-9+.\-]{1,20}://[^\s:/@"'<>]{0,60}:(?P<v>[^\s@"'/<>]{1,200})@""",
-    "header": r"""(?i)["'`:=][ \t]?(?:bearer|basic|token|api-?key)[ \t]+(?P<v>[A-Za-z0-9][A-Za-z0-9._~+/!#*@$%^&\-]{7,400}={0,2})""",
-    "api header": r"""(?i)\bx-[a-z\-]{0,20}(?:key|token|secret|auth)["']?\s{0,2}[:,=]\s{0,2}["']?(?P<v>[^\s"'`,;]{6,400})""",
-    "login option": r"""(?i)(?: -u|\t-u|--user|--login)[ =]+["']?[\w.@\-]{1,60}:["']?(?P<v>[^\s"'`]{4,400})""",
-    "password option": r"""(?i)--(?:password|passwd|token|secret|api-key)[ =]+["']?(?P<v>[^\s"'`\-][^\s"'`]{5,400})""",
-    "connection": r"""(?i);[ \t]*(?:pwd|password|accountkey|sharedaccesskey|secret|token)[ \t]*=[ \t]*(?P<v>[^;"'\s]{4,400})""",
-    "statement": r"""(?i)\b(?:identified[ \t]+by|with[ \t]+password|[ \t]password)[ \t]+(?P<q>['"])(?P<v>[^'"\n]{4,400})(?P=q)""",
-    "remark": rf"""(?i)(?:{_NAMES}|login|\bkey(?= is)|\bpin |rotate|\bpw[ :])[^\n"'=]{{0,48}}?(?:\bis|\bwas|->|[:/=])[ \t]+["'`]?(?P<v>[^\s"'`]{{8,400}}?)(?=["'`]?[.,;]?(?:\s|$))""",
-    "call": r"""\([ \t]*["'][\w\-]+(?:\.[\w\-]+)+(?:","|", "|','|', ')[\w.@\-]{1,60}["'][ \t]*,[ \t]*(?P<q>["'])(?P<v>[^"'\n]{6,400})(?P=q)""",
-    "aws": r"""(?<![A-Za-z0-9])(?P<v>A(?:KIA|SIA)[0-9A-Z]{12,40})(?![A-Za-z0-9])""",
-    "ghp": r"""(?<![A-Za-z0-9])(?P<v>(?:ghp|gho|ghs)_[A-Za-z0-9]{12,80})(?![A-Za-z0-9])""",
-    "glpat": r"""(?<![A-Za-z0-9])(?P<v>glpat-[A-Za-z0-9_\-]{12,80})(?![A-Za-z0-9])""",
-    "live": r"""(?<![A-Za-z0-9])(?P<v>(?:sk|rk|pk)_live_[A-Za-z0-9]{12,100})(?![A-Za-z0-9])""",
-    "xox": r"""(?<![A-Za-z0-9])(?P<v>xox[abprs]-[A-Za-z0-9\-]{10,100})(?![A-Za-z0-9])""",
-    "pat": r"""(?<![A-Za-z0-9\-])(?P<v>pat-[A-Z0-9]{12,80})(?![A-Za-z0-9])""",
-    "tok": r"""(?<![A-Za-z0-9])(?P<v>tok_[A-Z0-9]{12,80})(?![A-Za-z0-9])""",
-    "jwt": r"""(?<![A-Za-z0-9])(?P<v>eyJ[A-Za-z0-9_\-]{8,2000}\.[A-Za-z0-9_\-]{8,4000}\.[A-Za-z0-9_\-]{16,2000})""",
+    "assigned": rf"""(?i)(?:{_NAMES})(?!_?(?:hash|sha\d+|md5|checksum|fingerprint|hint|path|file|ur[il])\d*\b)[\w.\-]*+["']?\]?\)?\s{{0,40}}(?:(?:=>|:=|\|\||\?\?|\bor\b|[:=])\s{{0,40}}|,\s{{0,3}}){_STRING}{_MORE}""",
+    "attribute": rf"""(?i)(?:{_NAMES})[\w.\-]*+["']\s+value\s{{0,2}}=\s{{0,2}}(?P<q>["'])(?P<v>[^"'\n]+)(?P=q)""",
+    "element": rf"""(?i)<[\w.\-:]*(?:{_NAMES})[\w.\-:]*+>(?P<v>[^<>\n]{{6,}})</""",
+    "setting": rf"""(?im)^[ \t]*(?:-[ \t]+|export[ \t]+|set[ \t]+|ENV[ \t]+)?[\w.\-]*(?:{_NAMES})[\w.\-]*+[ \t]*[=:][ \t]*(?P<v>[^\s"'#;{{\[(][^\s"',;]{{5,}})[ \t]*\r?(?:$|#)""",
+    "address": r"""(?i)\b[a-z][a-z0-9+.\-]{1,20}://[^\s:/@"'<>]*:(?P<v>[^\s@"'/<>]+)@""",
+    "header": r"""(?i)["'`:=][ \t]?(?:bearer|basic|token|api-?key)[ \t]+(?P<v>[A-Za-z0-9][A-Za-z0-9._~+/!#*@$%^&\-]{7,}={0,2})""",
+    "api header": r"""(?i)\bx-[a-z\-]*(?:key|token|secret|auth)["']?\s{0,2}[:,=]\s{0,2}["']?(?P<v>[^\s"'`,;]{6,})""",
+    "login option": r"""(?i)(?: -u|\t-u|--user|--login)[ =]+["']?[\w.@\-]+:["']?(?P<v>[^\s"'`]{4,})""",
+    "password option": r"""(?i)--(?:password|passwd|token|secret|api-key)[ =]+["']?(?P<v>[^\s"'`\-][^\s"'`]{5,})""",
+    "connection": r"""(?i);[ \t]*(?:pwd|password|accountkey|sharedaccesskey|secret|token)[ \t]*=[ \t]*(?P<v>[^;"'\s]{4,})""",
+    "statement": r"""(?i)\b(?:identified[ \t]+by|with[ \t]+password|[ \t]password)[ \t]+(?P<q>['"])(?P<v>[^'"\n]{4,})(?P=q)""",
+    "remark": rf"""(?i)(?:{_NAMES}|login|\bkey(?= is)|\bpin |rotate|\bpw[ :])[^\n"'=]{{0,48}}?(?:\bis|\bwas|->|[:/=])[ \t]+["'`]?(?P<v>[^\s"'`]{{8,}}?)(?=["'`]?[.,;]?(?:\s|$))""",
+    "call": r"""\([ \t]*["'][\w\-]+(?:\.[\w\-]+)+(?:","|", "|','|', ')[\w.@\-]+["'][ \t]*,[ \t]*(?P<q>["'])(?P<v>[^"'\n]{6,})(?P=q)""",
+    "aws": r"""(?<![A-Za-z0-9])(?P<v>A(?:KIA|SIA)[0-9A-Z]{12,})(?![A-Za-z0-9])""",
+    "ghp": r"""(?<![A-Za-z0-9])(?P<v>(?:ghp|gho|ghs)_[A-Za-z0-9]{12,})(?![A-Za-z0-9])""",
+    "glpat": r"""(?<![A-Za-z0-9])(?P<v>glpat-[A-Za-z0-9_\-]{12,})(?![A-Za-z0-9])""",
+    "live": r"""(?<![A-Za-z0-9])(?P<v>(?:sk|rk|pk)_live_[A-Za-z0-9]{12,})(?![A-Za-z0-9])""",
+    "xox": r"""(?<![A-Za-z0-9])(?P<v>xox[abprs]-[A-Za-z0-9\-]{10,})(?![A-Za-z0-9])""",
+    "pat": r"""(?<![A-Za-z0-9\-])(?P<v>pat-[A-Z0-9]{12,})(?![A-Za-z0-9])""",
+    "tok": r"""(?<![A-Za-z0-9])(?P<v>tok_[A-Z0-9]{12,})(?![A-Za-z0-9])""",
+    "jwt": r"""(?<![A-Za-z0-9])(?P<v>eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{16,})""",
     "pem": r"""(?P<v>-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----)""",
 }
+#: Detectors whose matches may go on over lines.
+OVER_LINES = ("assigned", "attribute", "api header")
 #: Detectors whose format alone shows a credential.
 BY_FORMAT = ("aws", "ghp", "glpat", "live", "xox", "pat", "tok", "jwt")
 
@@ -166,7 +172,8 @@ class Plan:
 
     def __init__(self, detectors: dict[str, str]) -> None:
         self.regexes = {n: re.compile(p, re.A) for n, p in detectors.items()}
-        self.clauses = {n: required(p) for n, p in detectors.items()}
+        # Of a match over lines only the first clause is sure to stand on the line where it begins, and so in the chunk that owns it.
+        self.clauses = {n: required(p)[: 1 if n in OVER_LINES else None] for n, p in detectors.items()}
         self.trigrams = sorted({s[i : i + 3] for cs in self.clauses.values() for c in cs for s in c for i in range(len(s) - 2)})
         self.number = {t: k + 1 for k, t in enumerate(self.trigrams)}
         self.lookup = np.zeros(1 << 24, np.uint16)
@@ -214,20 +221,24 @@ def plan() -> Plan:
     return Plan(DETECTORS)
 
 
-def chunks_of(text: str, size: int = CHUNK) -> Iterator[tuple[int, str]]:
-    """(offset, chunk) of whole lines, of about the size; a longer line is a chunk by itself."""
+def chunks_of(text: str, size: int = CHUNK) -> Iterator[tuple[int, int, str]]:
+    """(offset, own length, chunk) of whole lines, of about the size; a longer line is a chunk by itself. Behind its own lines a
+    chunk holds the next ones, REACH of them with something in them."""
     at, n = 0, len(text)
     while at < n:
         end = n if at + size >= n else text.rfind("\n", at, at + size) + 1
         if end <= at:
             end = text.find("\n", at + size) + 1 or n
-        yield at, text[at:end]
+        more = _FOLLOWING.match(text, end).end() if end < n else n
+        yield at, end - at, text[at:more]
         at = end
 
 
-def hits(name: str, regex: re.Pattern, chunk: str) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
-    """(start, end, parts to mask) of each usable value that the regex finds in a chunk."""
-    for m in regex.finditer(chunk):
+def hits(name: str, regex: re.Pattern, chunk: str, own: int) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    """(start, end, parts to mask) of each usable value that the regex finds from one of the chunk's own lines on."""
+    for m in regex.finditer(chunk) if name in OVER_LINES else regex.finditer(chunk, 0, own):
+        if m.start() >= own:
+            return
         a, b = m.span("v")
         parts, value = [(a, b)], m["v"]
         groups = regex.groupindex
@@ -245,8 +256,38 @@ def hits(name: str, regex: re.Pattern, chunk: str) -> Iterator[tuple[int, int, l
             yield a, b, parts
 
 
-_PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
-_BODY = re.compile(r"[A-Za-z0-9+/=]{12,}")
+_PEM_END = re.compile(r"-----(?:END|BEGIN) (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
+#: A key's line: a run of its letters with nothing but quotes, signs of comments and joins, and escapes around it.
+_KEY_LINE = re.compile(r"[ \t\"'`#*/;+,(>\-]*(?:\\+[nrt])*(?:[A-Za-z0-9+/=]+(?:\\+[nrt])*)+[ \t\r\"'`+,;)\\]*(?:\n|\Z)")
+_KEY_PART = re.compile(r"(?P<escape>\\+[nrt])|(?P<run>[A-Za-z0-9+/=]+)")
+
+
+def key_spans(text: str, a: int) -> Iterator[tuple[int, int]]:
+    """The runs of a private key whose BEGIN mark ends at a: up to its END mark, or without one over the lines that look like a
+    key's. Short runs count where they are bounded as a line of the key is, so that no word of code is taken for one."""
+    m = _PEM_END.search(text, a)
+    if m and "END" in m.group():
+        stop = m.start()
+    else:
+        stop = text.find("\n", a) + 1 or len(text)
+        before = text[text.rfind("-----BEGIN", 0, a) - 1 :][:1]
+        quote = text.find(before, a, stop) if before in tuple("\"'`") else -1
+        if quote >= 0 and text[quote:stop].strip("\"'`+,;)\\ \t\r\n"):
+            stop = quote  # more code stands behind the string
+        else:
+            while stop < len(text) and (line := _KEY_LINE.match(text, stop)):
+                stop = line.end()
+        stop = min(stop, m.start()) if m else stop
+    behind = -1  # where the last escape ends
+    for part in _KEY_PART.finditer(text, a, stop):
+        if part["escape"]:
+            behind = part.end()
+            continue
+        s, e = part.span()
+        left, right = text[s - 1], text[e : e + 1]
+        opened = left in "\"'`\n-" or behind == s or left in " \t" and right in "\"'`\r\n\\"
+        if e - s >= 12 or opened and right in "\"'`\r\n\\ -" and re.search(r"[A-Za-z0-9]", part.group()):
+            yield s, e
 
 
 def spans_of(text: str, found: list[tuple[str, int, list[tuple[int, int]]]]) -> list[tuple[int, int]]:
@@ -254,10 +295,7 @@ def spans_of(text: str, found: list[tuple[str, int, list[tuple[int, int]]]]) ->
     spans = []
     for name, _, parts in found:
         if name == "pem":
-            a = parts[0][1]
-            m = _PEM_END.search(text, a)
-            stop = m.start() if m else text.find("\n", a) if text.find("\n", a) >= 0 else len(text)
-            spans += [(x.start(), x.end()) for x in _BODY.finditer(text, a, stop)]
+            spans += key_spans(text, parts[0][1])
         else:
             spans += parts
     out: list[tuple[int, int]] = []
@@ -269,11 +307,15 @@ def spans_of(text: str, found: list[tuple[str, int, list[tuple[int, int]]]]) ->
     return out
 
 
+_MASKED = re.compile(r"(\\[^\s])|[^\s\"'`\\]")
+
+
 def mask(text: str, spans: list[tuple[int, int]]) -> str:
-    """Each masked character becomes an x, so that offsets, quotes and line ends stay."""
+    """Each masked character becomes an x, an escape as a whole, so that offsets, quotes and line ends stay and no escape is left
+    half; a backslash at a span's end stays, as it belongs to what follows."""
     out, at = [], 0
     for a, b in spans:
-        out += [text[at:a], re.sub(r"[^\s\"'`\\]", "x", text[a:b])]
+        out += [text[at:a], _MASKED.sub(lambda m: "xx" if m[1] else "x", text[a:b])]
         at = b
     return "".join(out) + text[at:]
 
@@ -281,19 +323,20 @@ def mask(text: str, spans: list[tuple[int, int]]) -> str:
 def search(texts: list[str | None]) -> list[list[tuple[str, int, list[tuple[int, int]]]]]:
     """For each text its finds: (detector, start, parts), over one segment's index."""
     p = plan()
-    chunks, home = [], []
+    chunks, owned, home = [], [], []
     for k, text in enumerate(texts):
-        for at, c in chunks_of(text or ""):
+        for at, own, c in chunks_of(text or ""):
             chunks.append(c)
-            home.append((k, at))
+            owned.append(c[:own])
+            home.append((k, at, own))
     out: list[list] = [[] for _ in texts]
     if not chunks:
         return out
-    for name, left in p.candidates(p.index(chunks), len(chunks)).items():
+    for name, left in p.candidates(p.index(owned), len(owned)).items():
         regex = p.regexes[name]
         for i in left.tolist():
-            k, at = home[i]
-            for a, _, parts in hits(name, regex, chunks[i]):
+            k, at, own = home[i]
+            for a, _, parts in hits(name, regex, chunks[i], own):
                 out[k].append((name, at + a, [(at + x, at + y) for x, y in parts]))
     return out
 
@@ -348,17 +391,17 @@ def redact(df: DataFrame, id_column: str = "file_id", text_column: str = "text")
     return arrow_map(_rows(df, id_column, text_column), per_batch, REDACTED)
 
 
-INDEX = "segment bigint, trigram string, files array<bigint>, chunk_offsets array<int>"
+INDEX = "file_id bigint, trigram string, chunk_offsets array<int>"
 
 
 def trigram_index(df: DataFrame, id_column: str = "file_id", text_column: str = "text") -> DataFrame:
-    """The index itself: of each segment and each trigram that a detector needs, its chunks (file and offset)."""
+    """The index itself, in INDEX's columns: of each file and each trigram that a detector needs, its chunks."""
 
     def per_batch(c: dict[str, list]) -> Iterator[tuple]:
         p = plan()
-        for ids, texts in segments(c["file_id"], c["text"]):
-            home = [(i, at, chunk) for i, t in zip(ids, texts) for at, chunk in chunks_of(t or "")]
-            for number, owners in p.index([h[2] for h in home]).items():
-                yield ids[0], p.trigrams[number - 1], [home[o][0] for o in owners], [home[o][1] for o in owners]
+        for i, text in zip(c["file_id"], c["text"]):
+            chunks = list(chunks_of(text))
+            for number, owners in p.index([x[:own] for _, own, x in chunks]).items():
+                yield i, p.trigrams[number - 1], [chunks[o][0] for o in owners]
 
     return arrow_map(_rows(df, id_column, text_column), per_batch, INDEX)
