@@ -7,6 +7,104 @@ import re
 from .syntax import _C_ASSIGN, _C_BINARY, Bad, Parser
 
 
+_DIRECTIVE = re.compile(r"[ \t]*#[ \t]*(if|elif|else|endif|define|undef)\b([^\n]*)")
+#: What may hold the sign of a directive without being one, or a directive at a line's start.
+_PASSED = re.compile(r"//[^\n]*|/\*.*?\*/|\"\"\".*?\"\"\"|(?:@\$|\$@|@)\"(?:\"\"|[^\"])*\"|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])'|^[ \t]*#[ \t]*(?:if|elif|else|endif|define|undef)\b[^\n]*", re.S | re.M)
+
+
+class _Condition:
+    """The value of a directive's condition; ValueError if it is none."""
+
+    def __init__(self, text: str, symbols: set[str]) -> None:
+        text = text.split("//", 1)[0]
+        self.t, self.i, self.symbols = [*re.findall(r"\w+|&&|\|\||==|!=|\S", text), ""], 0, symbols
+
+    def value(self) -> bool:
+        out = self.level(0)
+        if self.t[self.i]:
+            raise ValueError
+        return out
+
+    def level(self, k: int) -> bool:
+        ops = (("||",), ("&&",), ("==", "!="))
+        if k == len(ops):
+            return self.unary()
+        out = self.level(k + 1)
+        while self.t[self.i] in ops[k]:
+            op = self.t[self.i]
+            self.i += 1
+            other = self.level(k + 1)
+            out = out or other if op == "||" else out and other if op == "&&" else (out == other) == (op == "==")
+        return out
+
+    def unary(self) -> bool:
+        word = self.t[self.i]
+        self.i += 1
+        if word == "!":
+            return not self.unary()
+        if word == "(":
+            out = self.level(0)
+            if self.t[self.i] != ")":
+                raise ValueError
+            self.i += 1
+            return out
+        if not word.isidentifier():
+            raise ValueError
+        return word == "true" or word != "false" and word in self.symbols
+
+
+def sections(text: str) -> tuple[str, str]:
+    """(the text with what its conditional sections leave out blanked, so that lines stay; what is wrong with the directives).
+
+    Only the symbols that the file defines are defined, as in a build without options."""
+    out, symbols, at, why = [], set(), 0, ""
+    open_: list[tuple[bool, bool, bool]] = []  # (is this section read, has one been, was #else met); those around it are read
+    n = len(text)
+    while at < n and not why:
+        reading = all(x[0] for x in open_)
+        if reading:
+            m = _PASSED.search(text, at)
+            if not m:
+                break
+            out.append(text[at : m.start()])
+            if not (d := _DIRECTIVE.fullmatch(m.group())):
+                out.append(m.group())
+                at = m.end()
+                continue
+            at = m.end()
+        else:
+            end = text.find("\n", at)
+            end = n if end < 0 else end
+            d = _DIRECTIVE.fullmatch(text, at, end)
+            at = min(n, end + 1)
+            if not d:
+                out.append("\n" if end < n else "")
+                continue
+            if end < n:
+                out.append("\n")
+        word, rest = d[1], d[2].rstrip("\r")
+        try:
+            if word == "if":
+                value = reading and _Condition(rest, symbols).value()
+                open_.append((value, value or not reading, False))
+            elif word in ("define", "undef"):
+                if reading:
+                    (symbols.add if word == "define" else symbols.discard)(rest.strip())
+            elif not open_ or open_[-1][2] and word != "endif":
+                why = f"#{word} without its beginning"
+            elif word == "endif":
+                open_.pop()
+            else:
+                _, done, _ = open_[-1]
+                value = not done and (word == "else" or _Condition(rest, symbols).value())
+                open_[-1] = (value, done or value, word == "else")
+        except ValueError:
+            why = f"#{word} without a condition"
+    if open_ and not why:
+        why = "#if without its end"
+    return "".join(out) + text[at:], why
+
+
 class CSharp(Parser):
     # The words of the language.
     words = frozenset("abstract as base bool break byte case catch char checked class const continue decimal default delegate do double else enum event explicit extern false finally fixed float for foreach goto if implicit in int interface internal is lock long namespace new null object operator out override params private protected public readonly ref return sbyte sealed short sizeof stackalloc static string struct switch this throw true try typeof uint ulong unchecked unsafe ushort using virtual void volatile while".split())
@@ -23,6 +121,12 @@ class CSharp(Parser):
     binary = _C_BINARY | {"??": 2, "is": 9, "as": 9, "..": 16, "switch": 17, "with": 17}
     assign = _C_ASSIGN | {"??="}
 
+    def __init__(self, text: str) -> None:
+        self.directives = ""
+        if "#" in text and re.search(r"(?m)^[ \t]*#[ \t]*(?:if|elif|else|endif)\b", text):
+            text, self.directives = sections(text)
+        super().__init__(text)
+
     @classmethod
     def kind(cls, token: str) -> str:
         c = token[0]
@@ -59,6 +163,8 @@ class CSharp(Parser):
 
     def check(self) -> list[tuple[int, str]]:
         errors = super().check()
+        if self.directives:
+            errors.append((len(self.t) - 4, self.directives))
         if not errors and "#region" in self.text:
             depth = 0
             for m in re.finditer(r"(?m)^[ \t]*#[ \t]*(region|endregion)\b", self.text):

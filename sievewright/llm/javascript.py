@@ -15,6 +15,19 @@ _REGEX = re.compile(
 )
 
 
+def _pattern(literal: str) -> bool:
+    """A regular expression's groups are closed, nothing is repeated that isn't there, and no flag stands twice."""
+    body, flags = literal[1:].rsplit("/", 1)
+    body = re.sub(r"\\.|\[(?:\\.|[^\]\\])*\]", "a", body)
+    body = re.sub(r"\(\?(?::|=|!|<=|<!|<[\w$]+>|[ims]*(?:-[ims]+)?:)", "(", body)
+    depth = 0
+    for c in body:
+        depth += (c == "(") - (c == ")")
+        if depth < 0:
+            return False
+    return not depth and not re.search(r"(?:^|[(|])[*+?]", body) and len(set(flags)) == len(flags) and not {"u", "v"} <= set(flags)
+
+
 class JavaScript(Parser):
     # The words of the language.
     words = frozenset("break case catch class const continue debugger default delete do else enum export extends false finally for function if import in instanceof new null return super switch this throw true try typeof var void while with".split())
@@ -32,7 +45,7 @@ class JavaScript(Parser):
         if text.startswith("#!"):
             text = "//" + text[2:]
         if _REGEX_HINT.search(text):
-            text = _REGEX.sub(lambda m: m[1] or m[2] + '"r"', text)
+            text = _REGEX.sub(lambda m: m[1] or m[2] + ('"r"' if _pattern(m[3]) else "\\"), text)
         self.text = text
         pairs = self.lexer.findall(text)
         while pairs and not pairs[-1][1]:
@@ -45,7 +58,6 @@ class JavaScript(Parser):
         self.i = 0
         self.errors: list[tuple[int, str]] = []
         self.partners: dict[str, dict[int, int]] = {}
-        self.depth = 0
         self.functions, self.no_in = 0, False
         self.form = ""
 

@@ -21,6 +21,9 @@ _LEXER = re.compile(
     r"|[^\W\d]\w*|\d(?:[\w.]|(?<=[eE])[+-])*|\.\d(?:\w|(?<=[eE])[+-])*|\.\.\.|->|:=|\*\*=?|//=?|<<=?|>>=?|[=!<>+\-*/%&|^@]=|\S|\Z)"
 )
 _NUMBER = re.compile(r"0[xX](?:_?[0-9a-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+|(?:0(?:_?0)*|[1-9](?:_?\d)*)|(?:(?:\d(?:_?\d)*)?\.\d(?:_?\d)*|\d(?:_?\d)*\.?)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?|\d(?:_?\d)*[eE][+-]?\d(?:_?\d)*[jJ]?|\d(?:_?\d)*[jJ]")
+#: Escapes that no string may hold.
+_BAD_BYTE = re.compile(r"(?<!\\)(?:\\\\)*\\x(?![0-9a-fA-F]{2})")
+_BAD_ESCAPE = re.compile(r"(?<!\\)(?:\\\\)*\\(?:x(?![0-9a-fA-F]{2})|u(?![0-9a-fA-F]{4})|U(?!000[0-9a-fA-F]{5}|0010[0-9a-fA-F]{4})|N(?!\{[^{}]+\}))")
 _ZEROS = re.compile(r"0\d[\d_]*")
 
 
@@ -28,7 +31,7 @@ class Line:
     """Parses one logical line, given as kinds."""
 
     def __init__(self, t: list[str]) -> None:
-        self.t, self.i, self.depth = [*t, "end", "end", "end"], 0, 0
+        self.t, self.i = [*t, "end", "end", "end"], 0
 
     def fail(self, why: str = "") -> None:
         raise Bad(self.i, why or f"unexpected {self.t[self.i]}")
@@ -396,25 +399,19 @@ class Line:
         return self.expression()
 
     def expression(self) -> str:
-        self.depth += 1
-        if self.depth > 90:
-            self.fail("nested too deeply")
-        try:
-            if self.t[self.i] == "lambda":
-                self.i += 1
-                self.parameters(":", False)
-                self.take(":")
-                self.expression()
-                return "value"
-            form = self.disjunction()
-            if self.maybe("if"):
-                self.disjunction()
-                self.take("else")
-                self.expression()
-                return "value"
-            return form
-        finally:
-            self.depth -= 1
+        if self.t[self.i] == "lambda":
+            self.i += 1
+            self.parameters(":", False)
+            self.take(":")
+            self.expression()
+            return "value"
+        form = self.disjunction()
+        if self.maybe("if"):
+            self.disjunction()
+            self.take("else")
+            self.expression()
+            return "value"
+        return form
 
     def disjunction(self) -> str:
         form = self.negation()
@@ -696,6 +693,8 @@ class Python:
             return "nl"
         if token[-1] in "\"'" and len(token) > 1:
             prefix = token[: min(token.find(q) for q in "\"'" if q in token)].lower()
+            if "r" not in prefix and "\\" in token and (_BAD_BYTE if "b" in prefix else _BAD_ESCAPE).search(token):
+                return "err"
             if "b" in prefix:
                 return "bytes" if token.isascii() else "err"
             return "str" if "f" not in prefix or cls.holes(token, prefix) else "err"
@@ -766,8 +765,6 @@ class Python:
                 known = (*line.parse(), None)
             except Bad as e:
                 known = ("", False, (e.at, e.why))
-            except RecursionError:
-                known = ("", False, (0, "nested too deeply"))
             self.good[s] = known
         return known
 

@@ -130,4 +130,8 @@ def p3_rates(spark: SparkSession, folder: str) -> DataFrame:
     return parsing.rates(table(spark, folder, "source_text", True))
 
 
-QUERIES |= {f.__name__: f for f in (p3_found, p3_parsed, p3_rates)}
+def p3_acceptance(spark: SparkSession, folder: str) -> DataFrame:
+    return parsing.acceptance(table(spark, folder, "source_text", True))
+
+
+QUERIES |= {f.__name__: f for f in (p3_found, p3_parsed, p3_rates, p3_acceptance)}

@@ -86,7 +86,6 @@ class Parser:
         self.i = 0
         self.errors: list[tuple[int, str]] = []
         self.partners: dict[str, dict[int, int]] = {}
-        self.depth = 0
         self.names: list[str | None] = [None]  # the types that the place lies in
 
     # ---------------------------------------------------------------- tools
@@ -180,26 +179,20 @@ class Parser:
 
     def repeat(self, f, end: str) -> None:
         """f until end; after an error in it, on from the next statement."""
-        if self.depth >= 120:
-            raise Bad(self.i - (self.t[self.i - 1] == "{"), "nested too deeply")  # the block is skipped whole
-        self.depth += 1
-        depth = self.depth
         while self.t[self.i] != end:
             if self.t[self.i] == "eof":
                 self.fail(f"the file ends before {end}")
             at = self.i
             try:
                 f()
-            except (Bad, RecursionError) as e:
-                place, why = (e.at, e.why) if isinstance(e, Bad) else (self.i, "nested too deeply")
-                if why != "given up":
-                    self.errors.append((place, why))
+            except Bad as e:
+                place = e.at
+                if e.why != "given up":
+                    self.errors.append((place, e.why))
                 if self.t[place] == "eof":
                     raise Bad(len(self.t) - 4, "given up") from None
-                self.depth = depth
                 self.i = max(place, at)
                 self.panic(at)
-        self.depth -= 1
 
     def panic(self, start: int) -> None:
         depth = 0
@@ -224,14 +217,12 @@ class Parser:
             self.i += 1
 
     def check(self) -> list[tuple[int, str]]:
-        """All errors as (place of the token, what), the first cause first."""
+        """All errors as (place of the token, what), the first cause first. RecursionError: the text nests deeper than the stack goes."""
         try:
             self.file()
         except Bad as e:
             if e.why != "given up":
                 self.errors.append((e.at, e.why))
-        except RecursionError:
-            self.errors.append((self.i, "nested too deeply"))
         self.errors = list(dict.fromkeys(self.errors))  # what was tried twice counts once
         return self.errors
 

@@ -4,7 +4,7 @@ import pytest
 
 from sievewright.llm import handwritten, leakage, parsing, secrets
 
-from .test_text_problems import _by_hand, _getters
+from test_text_problems import _by_hand, _getters
 
 # ---------------------------------------------------------------- 1: machine-made files
 
@@ -142,3 +142,31 @@ def test_index_does_not_depend_on_partitions(spark):
     df = spark.createDataFrame(rows, "file_id long, text string")
     one, other = (sorted(map(str, secrets.trigram_index(df.repartition(k)).collect())) for k in (1, 5))
     assert one == other
+
+
+# ---------------------------------------------------------------- 3: files that do not parse
+
+
+def test_deep_and_conditional_files():
+    valid = [
+        ("java", "class A { void f() { " + "if (a) { " * 150 + "x();" + "}" * 150 + " } }"), ("js", "x = " + "[" * 3000 + "1" + "]" * 3000), ("py", "x = " + "(" * 150 + "1" + ")" * 150 + "\n"),
+        ("cs", "class A\n#if X\n : B {\n#else\n {\n#endif\n}\n"), ("cs", 'class A {\n#if false\n don\'t "parse this\n /* nor this\n#endif\n}'), ("cs", "#define X\nclass A {\n#if X && !Y\n int a;\n#elif (Z)\n not this\n#else\n nor this\n#endif\n}"), ("cs", 'class A { string s = @"\n#if x\n"; }'),
+        ("py", 'x = "\\\\xzz", r"\\xz", "\\N{DASH}", b"\\u12"\n'), ("js", "a = /(?<n>x)(?:y)[(]\\(*/gi"),
+    ]
+    for ext, text in valid:
+        assert parsing.errors_of(text, ext) == [], text[:80]
+    invalid = [("py", 'x = "\\xzz"\n'), ("py", 'x = "\\u12"\n'), ("py", 'x = b"\\x1"\n'), ("py", 'x = "\\N"\n'), ("js", "a = /(/"), ("js", "a = /*a/ + 1"), ("js", "a = /a/gg"), ("cs", "class A {\n#if X\n}"), ("cs", "class A { }\n#endif\n"), ("cs", "class A {\n#if X &&\n#endif\n}"), ("java", "class A { void f() { " + "{ " * 150 + "x(" + "}" * 150 + " } }")]
+    for ext, text in invalid:
+        assert parsing.errors_of(text, ext), text[:80]
+    (first, *_) = parsing.errors_of("class A {\n#if X\n int a = ;\n#else\n int b = ;\n#endif\n}\n", "cs")
+    assert first[0] == 5
+    assert len(parsing.errors_of("class A { void f() {\n" + "x = ;\n" * 60 + "} }", "java")) == 60
+
+
+def test_too_deep_is_neither(spark, monkeypatch):
+    text = "x = " + "[" * 99_000 + "1" + "]" * 99_000
+    rows = [(1, "a.js", text), (2, "b.js", "x ="), (3, "c.js", "x = 1")]
+    df = spark.createDataFrame(rows, "file_id long, file_path string, text string")
+    assert sorted((r["file_id"], r["accepted"]) for r in parsing.parse_files(df).collect()) == [(1, None), (2, False), (3, True)]
+    (row,) = parsing.acceptance(df).collect()
+    assert (row["language"], row["n_files"], row["n_rejected"], row["n_accepted"]) == ("JavaScript", 3, 1, 2)
