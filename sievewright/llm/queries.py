@@ -22,6 +22,10 @@ def p2_rates(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.truncation_rates(table(spark, folder, "responses", True))
 
 
+def p2_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.evidence(table(spark, folder, "responses", True))
+
+
 def p2_hazards(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.hazards(truncation.endings(table(spark, folder, "responses", True))).where("significant").drop("significant")
 
@@ -75,7 +79,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_repaired(spark, folder).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p2_hazards, p5_found, p5_pieces, p5_pieces_small, p6_pack, p6_pack_small, p7_found, p7_leaks, p7_items, p8_found, p8_repaired)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p2_evidence, p2_hazards, p5_found, p5_pieces, p5_pieces_small, p6_pack, p6_pack_small, p7_found, p7_leaks, p7_items, p8_found, p8_repaired)}
 
 SQL = {
     "p5_found": """

@@ -160,6 +160,15 @@ def _poisson_tail(d: int, mu: float) -> float:
     return min(1.0, total)
 
 
+MEASURES = ("n_chars", "n_bytes", "answer_chars", "answer_bytes")
+
+
+def by_measure(df: DataFrame, *columns: str) -> DataFrame:
+    """These columns with measure and length, a row for each measure."""
+    lengths = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("length")) for m in MEASURES]))
+    return df.select(*columns, lengths.alias("x")).select(*columns, "x.*").where("length > 0")
+
+
 HAZARDS = "source string, measure string, length int, texts bigint, at_risk bigint, expected double, p double"
 
 
@@ -167,10 +176,8 @@ def hazards(features: DataFrame) -> DataFrame:
     """Hazard of each length with its test: HAZARDS' columns and significant. Copies of a text count once within a source.
 
     A window here holds one source's distinct lengths of one measure, so no more rows than the longest text has bytes."""
-    measures = ("n_chars", "n_bytes", "answer_chars", "answer_bytes")
-    texts = features.groupBy("source", "text_hash").agg(*[F.first(m).alias(m) for m in measures])
-    long = texts.select("source", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("length")) for m in measures])).alias("x")).select("source", "x.*").where("length > 0")
-    counts = long.groupBy("source", "measure", "length").agg(F.count("*").alias("texts"))
+    texts = features.groupBy("source", "text_hash").agg(*[F.first(m).alias(m) for m in MEASURES])
+    counts = by_measure(texts, "source").groupBy("source", "measure", "length").agg(F.count("*").alias("texts"))
     w = Window.partitionBy("source", "measure")
     tested = counts.select("*", F.sum("texts").over(w.orderBy(F.desc("length"))).alias("at_risk"), F.max("length").over(w).alias("longest")).withColumn("hazard", F.col("texts") / F.col("at_risk"))
     near = [F.coalesce(F.sum("hazard").over(w.orderBy("length").rangeBetween(*r)), F.lit(0.0)) for r in ((-NEIGHBOURS, -1), (1, NEIGHBOURS))]
@@ -210,18 +217,18 @@ def find_truncated(df: DataFrame) -> DataFrame:
     seq; an empty table gives no rows; cache_key and path, where df has them, tell stock replies from copies of a stump; other
     columns are not looked at."""
     features = materialize(endings(df), "truncation-features")
-    measures = ("n_chars", "n_bytes", "answer_chars", "answer_bytes")
     spikes = materialize(hazards(features).where("significant").select("source", "measure", "length"), "truncation-spikes")
     # The lengths at which a source cuts are few; the joins let the planner choose, by their written size.
-    unfinished = F.sum((F.col("ending") != ENDED).cast("int"))
+    s = spikes.select(F.col("source").alias("s"), F.col("measure").alias("m"), F.col("length").alias("l"))
+    there = by_measure(features, "source", "form", "ending").join(s, F.col("source").eqNullSafe(F.col("s")) & (F.col("measure") == F.col("m")) & (F.col("length") == F.col("l")))
+    there = there.groupBy("s", "m", "l", F.col("form").alias("f")).agg(F.count("*").alias("n"), F.sum((F.col("ending") != ENDED).cast("int")).alias("u"))
+    there = materialize(there.select("s", "m", "l", "f", ((F.col("u") >= MOSTLY_CUT * F.col("n")) & (F.col("u") >= LEAST_TEXTS)).alias("mostly")), "truncation-limits")
     marked = features
-    for m in measures:
-        s = spikes.where(F.col("measure") == m).select(F.col("source").alias("s"), F.col("length").alias("l"))
-        at = features.groupBy("source", "form", m).agg(F.count("*").alias("n"), unfinished.alias("u")).withColumnRenamed("form", "f")
-        at = at.join(s, F.col("source").eqNullSafe(F.col("s")) & (F.col(m) == F.col("l"))).select("s", "l", "f", ((F.col("u") >= MOSTLY_CUT * F.col("n")) & (F.col("u") >= LEAST_TEXTS)).alias(f"all_{m}"))
+    for m in MEASURES:
+        at = there.where(F.col("m") == m).select("s", "l", "f", F.col("mostly").alias(f"all_{m}"))
         marked = marked.join(at, F.col("source").eqNullSafe(F.col("s")) & (F.col(m) == F.col("l")) & (F.col("form") == F.col("f")), "left").drop("s", "l", "f")
-    at_spike = F.coalesce(*[f"all_{m}" for m in measures]).isNotNull()
-    cut_there = F.greatest(*[F.coalesce(f"all_{m}", F.lit(False)) for m in measures])
+    at_spike = F.coalesce(*[f"all_{m}" for m in MEASURES]).isNotNull()
+    cut_there = F.greatest(*[F.coalesce(f"all_{m}", F.lit(False)) for m in MEASURES])
     # The planner chooses the join by what is written: a stock reply is one row, however often it is given.
     stock = materialize(stock_replies(features), "truncation-stock-replies").withColumn("stock", F.lit(True))
     out = marked.join(stock, "answer_hash", "left")
@@ -231,6 +238,11 @@ def find_truncated(df: DataFrame) -> DataFrame:
     return out.where(by_length | by_ending).select("seq", "source", "form", "ending", F.when(by_length, "length").otherwise("ending").alias("evidence"))
 
 
+def evidence(df: DataFrame) -> DataFrame:
+    """evidence, ending, n: what the truncated responses rest on, a significant length or their ending alone."""
+    return find_truncated(df).groupBy("evidence", "ending").agg(F.count("*").alias("n"))
+
+
 def truncation_rates(df: DataFrame) -> DataFrame:
     """source, n_rows (all of its rows), n_truncated, share."""
     cut = find_truncated(df).groupBy("source").agg(F.count("*").alias("n_truncated")).withColumnRenamed("source", "s")
