@@ -409,7 +409,8 @@ def repair(text: str) -> tuple[list[tuple[int, int, str, str | None]], str]:
 
 
 def find_garbled(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row for each document with a garbled passage, in FOUND's columns; recovered: every span was put right.
+    """One row for each document with a garbled passage, in FOUND's columns; recovered: every span was put right, and nothing
+    garbled is found in the text that came of it.
 
     Null, empty and ASCII texts give no rows and never leave the JVM; repeated rows count by their own ids; an empty table
     gives no rows; other columns are not looked at. No shuffle."""
@@ -420,9 +421,10 @@ def find_garbled(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
         def per_batch(c: dict[str, list]) -> Iterator[tuple]:
             for i, text in zip(c["doc_id"], c["text"]):
-                if g.look(text)[1]:
-                    spans, plain = repair(text)
-                    yield i, len(spans), sorted({f for _, _, f, _ in spans}), all(p is not None for _, _, _, p in spans), plain
+                spans, plain = repair(text)
+                if spans:
+                    recovered = all(p is not None for _, _, _, p in spans) and not g.look(plain)[0]
+                    yield i, len(spans), sorted({f for _, _, f, _ in spans}), recovered, plain
 
         return per_batch
 

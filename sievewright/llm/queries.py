@@ -42,6 +42,11 @@ def p5_pieces_small(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder, "chunk_small").withColumnRenamed("id", "file_id")
 
 
+def p5_pieces_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    cut = splitting.split_oversized(table(spark, folder, "source_text", True), *limits(spark, folder, "chunk"), tokenizer=vocab.path("byte_bpe_50k.tiktoken"))
+    return cut.withColumnRenamed("id", "file_id")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder, "chunk").where("piece_no = 0").select(F.col("id").alias("file_id"))
 
@@ -79,7 +84,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_repaired(spark, folder).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p2_evidence, p2_hazards, p5_found, p5_pieces, p5_pieces_small, p6_pack, p6_pack_small, p7_found, p7_leaks, p7_items, p8_found, p8_repaired)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p2_evidence, p2_hazards, p5_found, p5_pieces, p5_pieces_small, p5_pieces_bpe, p6_pack, p6_pack_small, p7_found, p7_leaks, p7_items, p8_found, p8_repaired)}
 
 SQL = {
     "p5_found": """

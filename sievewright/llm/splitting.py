@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import vocab
 from .base import arrow_map
 
 CODE, MARKUP, DATA = "code", "prose", "data"
@@ -118,20 +119,42 @@ def tokens_of(length: int) -> int:
     return (length + 3) // 4
 
 
+def token_ends(text: str, encoding) -> list[int]:
+    """The character offset at which each token of the text ends, the prefix sums of their lengths. A token that ends within a
+    character ends before it."""
+    _, starts = encoding.decode_with_offsets(encoding.encode_ordinary(text))
+    return [*starts[1:], len(text)]
+
+
 PIECES = "id bigint, piece_no int, start int, end int, n_tokens int, break_rank int, piece string"
 
 
-def split_oversized(df: DataFrame, max_tokens: int, overlap_tokens: int, id_column: str = "file_id", path_column: str = "file_path", text_column: str = "text") -> DataFrame:
+def split_oversized(df: DataFrame, max_tokens: int, overlap_tokens: int, id_column: str = "file_id", path_column: str = "file_path", text_column: str = "text", tokenizer: str | None = None) -> DataFrame:
     """Pieces of every row whose text is over max_tokens, in PIECES' columns; start and end count characters.
 
-    Nulls and texts within the limit (empty ones too) give no rows; a null path counts as plain data; repeated rows are cut
-    alike under their own ids; an empty table gives no rows; other columns are not looked at, whatever their names. The
-    size test runs in the JVM before anything is sent to Python, and no shuffle is needed."""
-    over = df.select(F.col(id_column).cast("bigint").alias("id"), F.col(path_column).alias("path"), F.col(text_column).alias("text")).where(F.expr("(length(text) + 3) div 4") > F.lit(max_tokens))
+    tokenizer: a file of byte-level BPE ranks, which is shipped to the executors; None counts four characters a token, and then
+    the size test runs in the JVM before anything is sent to Python. Nulls and texts within the limit (empty ones too) give no
+    rows; a null path counts as plain data; repeated rows are cut alike under their own ids; an empty table gives no rows; other
+    columns are not looked at, whatever their names. No shuffle is needed."""
+    rows = df.select(F.col(id_column).cast("bigint").alias("id"), F.col(path_column).alias("path"), F.col(text_column).alias("text"))
+    if tokenizer is None:
+        over = rows.where(F.expr("(length(text) + 3) div 4") > F.lit(max_tokens))
+    else:
+        over = rows.where(F.octet_length("text") > F.lit(max_tokens))  # a token has a byte at least
+        shipped = vocab.ship(df.sparkSession, tokenizer)
+
+    def setup():
+        encoding = None if tokenizer is None else vocab.byte_bpe(vocab.place(shipped))
+
+        def cut(c: dict[str, list]) -> Iterator[tuple]:
+            for i, path, text in zip(c["id"], c["path"], c["text"]):
+                ends = None if encoding is None else token_ends(text, encoding)
+                if ends is not None and len(ends) <= max_tokens:
+                    continue
+                for k, (a, b, rank) in enumerate(pieces(text, kind_of(path), max_tokens, overlap_tokens, ends)):
+                    n = tokens_of(b - a) if ends is None else bisect_right(ends, b) - bisect_right(ends, a)
+                    yield i, k, a, b, n, rank, text[a:b]
 
-    def cut(c: dict[str, list]) -> Iterator[tuple]:
-        for i, path, text in zip(c["id"], c["path"], c["text"]):
-            for k, (a, b, rank) in enumerate(pieces(text, kind_of(path), max_tokens, overlap_tokens)):
-                yield i, k, a, b, tokens_of(b - a), rank, text[a:b]
+        return cut
 
-    return arrow_map(over, cut, PIECES)
+    return arrow_map(over, None, PIECES, setup)

@@ -16,6 +16,19 @@ def path(name: str) -> str:
     return f"{FOLDER}/{name}"
 
 
+def ship(spark, file: str) -> str:
+    """Send a vocabulary file to the executors; its name there."""
+    spark.sparkContext.addFile(file)
+    return os.path.basename(file)
+
+
+def place(name: str) -> str:
+    """Where a shipped file lies on this machine."""
+    from pyspark import SparkFiles
+
+    return SparkFiles.get(name)
+
+
 @lru_cache(maxsize=4)
 def byte_bpe(file: str):
     import tiktoken
