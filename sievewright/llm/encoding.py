@@ -26,6 +26,10 @@ UTF8_READ_AS = ("cp1252", "latin-1", "cp1250", "iso8859-2", "cp437", "cp850", "c
 LATIN_READ_AS = (("latin-1", "mac_roman"), ("latin-1", "cp437"), ("latin-1", "cp850"), ("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1250", "cp1252"), ("iso8859-2", "latin-1"), ("cp852", "cp1252"), ("cp1252", "cp1250"), ("cp1252", "cp1251"), ("cp1250", "cp1251"))
 CYRILLIC_READ_AS = (("cp1251", "cp1252"), ("koi8-r", "cp1252"), ("cp866", "cp1252"), ("iso8859-5", "cp1252"), ("cp1251", "mac_roman"), ("cp1251", "cp1250"), ("koi8-r", "cp1251"), ("cp1251", "koi8-r"), ("cp866", "cp1251"), ("iso8859-5", "cp1251"), ("cp1251", "cp866"), ("koi8-r", "cp866"), ("cp1251", "cp437"), ("cp1251", "cp850"))
 KANA_READ_AS = (("cp932", "cp1252"), ("euc_jp", "cp1252"), ("euc_jp", "cp932"), ("cp932", "euc_jp"), ("utf-8", "cp932"), ("utf-8", "gbk"), ("utf-8", "euc_jp"), ("utf-8", "big5"), ("utf-8", "cp949"), ("cp932", "mac_roman"), ("cp932", "gbk"), ("euc_jp", "gbk"))
+#: The letters beyond ASCII of each language; a passage is in one of them.
+LETTERS = ("äöüßÄÖÜ", "éèàçêôîâûùëïœÉÈÀÇÊÔÎ", "ñáíóúéüÑÁÍÓÚÉ", "ãõáéíóúâêôçàÃÕÁÉÍÓÚÂÊÔÇ", "ąćęłńóśźżĄĆĘŁŃÓŚŹŻ", "čďěňřšťůýžáíéóúČĎĚŇŘŠŤŮÝŽÁÍÉÓÚ")
+#: Bytes that the usual single-byte Western code page leaves open.
+OPEN_BYTES = "\x81\x8d\x8f\x90\x9d"
 #: Russian letters, most frequent first.
 RUSSIAN_ORDER = "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё"
 
@@ -162,7 +166,7 @@ class Garbling:
         if cyr:
             spans += self._cyrillic(text, cyr, taken)
             taken |= {i for a, b, _, _ in spans for i in range(a, b)}
-        letters = [h for h in hits if h[3] == "letter" and h[0] not in taken]
+        letters = [h for h in hits if (h[3] == "letter" or h[2] in OPEN_BYTES) and h[0] not in taken]
         if letters:
             spans += self._letters(text, letters, taken)
             taken |= {i for a, b, _, _ in spans for i in range(a, b)}
@@ -188,8 +192,15 @@ class Garbling:
         hits = [h for h in hits if not _quoted(text, h[0], h[1])]
         if not hits:
             return []
-        votes = Counter(f for h in hits for f in self.sequences[h[2]])
-        best = [f for f, _ in sorted(votes.items(), key=lambda x: (-x[1], UTF8_READ_AS.index(x[0].split(">")[1])))]
+        votes: Counter = Counter()
+        weight: Counter = Counter()  # a capital within a word of small letters speaks against a pair
+        for a, _, p, _ in hits:
+            inside = text[a - 1 : a].islower()
+            for f, ch in self.sequences[p].items():
+                votes[f] += 1
+                weight[f] += 2 if not (inside and ch.isupper()) else 1
+        starts, ends = {h[0] for h in hits}, {h[1] for h in hits}
+        best = [f for f, _ in sorted(weight.items(), key=lambda x: (-x[1], UTF8_READ_AS.index(x[0].split(">")[1])))]
         out, end = [], -1
         for a, b, p, _ in hits:
             if a < end:
@@ -200,7 +211,7 @@ class Garbling:
             alone = votes[family] < 2
             if alone and (_box(p, text, a, b) or family.split(">")[1] in ("cp1251", "koi8-r", "cp866", "cp850", "cp437", "cp852") and ch not in LATIN + "“”‘’–—…€µ"):
                 continue
-            if _box(p, text, a, b):
+            if _box(p, text, a, b) and (alone or a not in ends and b not in starts):
                 continue
             if all(x in CYRILLIC for x in p) and votes[family] < 4:
                 continue
@@ -288,39 +299,27 @@ class Garbling:
                 strong = inside or (_latin(before) or _latin(after)) and p not in "ªºµ" + CYRILLIC and not p.isascii()
             else:
                 strong = inside and p not in "’'‘·-–—…“”×÷→←±/" or inside and p in "·×÷±„" and before.islower() and after.islower()
+            if p in OPEN_BYTES:
+                strong = _latin(before) or _latin(after)
             if strong and not _quoted(text, a, b):
                 lines[text.rfind("\n", 0, a) + 1].append(a)
-        if not lines:
-            return []
-        votes: Counter = Counter()
-        by_line: dict[int, Counter] = {start: Counter() for start in lines}
-        for start, at in lines.items():
-            for i in at:
-                w = _word(text, i)[2]
-                for family, table in self.one.items():
-                    if text[i] in table:
-                        plain = "".join(table.get(c, c) for c in w)
-                        if _whole(plain):
-                            votes[family] += 1
-                            by_line[start][family] += 1
-        if not votes:
-            return []
-        order = [f for f, _ in sorted(votes.items(), key=lambda x: (-x[1], list(self.one).index(x[0])))]
         out = []
         for start, at in lines.items():
-            family = max(order, key=by_line[start].__getitem__)  # the first of equals
-            table = self.one[family]
-            done = set()
             end = text.find("\n", start)
-            for m in re.finditer(r"[^\s()\[\]{}`\"/.,;:!?]+", text[start : end if end >= 0 else len(text)]):
-                w = m.group()
-                if not any(c in table for c in w) or all(c in LATIN and not c.isupper() or c not in table for c in w) and not _odd(w):
+            words = [(m.start(), m.group()) for m in _WORDS.finditer(text, start, end if end >= 0 else len(text)) if not m.group().isascii() and not taken.intersection(range(*m.span()))]
+            family, table = max(self.one.items(), key=lambda x: _gain(x[1], [w for _, w in words]))
+            if _gain(table, [w for _, w in words])[0] <= 0:
+                continue
+            # Where each sign beyond ASCII may come from this pair and two words at least do, the line is garbled throughout.
+            throughout = all(c.isascii() or c in table for _, w in words for c in w) and sum(_whole(_through(table, w)) for _, w in words) >= 2
+            done = set()
+            for a, w in words:
+                plain = _through(table, w)
+                if not throughout and (not any(c in table for c in w) or all(c in LATIN and not c.isupper() or c not in table for c in w) and not _odd(w)):
                     pass_on = any(c in table and table[c] in LATIN for c in w) and family in ("cp1250>cp1252", "iso8859-2>latin-1", "cp852>cp1252")
                     if not pass_on:
                         continue
-                plain = "".join(table.get(c, c) for c in w)
-                a = start + m.start()
-                if plain != w and _whole(plain) and a not in taken:
+                if plain != w and _whole(plain):
                     out.append((a, a + len(w), family, plain))
                     done.update(range(a, a + len(w)))
             for a, b, w in sorted({_word(text, i) for i in at if i not in done and i not in taken}):
@@ -329,6 +328,23 @@ class Garbling:
         return out
 
 
+_WORDS = re.compile(r"[^ \t\r\n\f\v()\[\]{}`\"/.,;:!?]+")
+
+
+def _through(table: dict[str, str], word: str) -> str:
+    return "".join(table.get(c, c) for c in word)
+
+
+def _gain(table: dict[str, str], words: list[str]) -> tuple[int, float]:
+    """(words that a pair makes whole less those that it leaves with foreign signs, how well its letters fit one language)."""
+    plains = [(w, _through(table, w)) for w in words]
+    whole = sum(p != w and _whole(p) for w, p in plains)
+    foreign = sum(not _whole(p) and _odd(p) for w, p in plains)
+    letters = [c for w, p in plains if p != w for c in p if not c.isascii()]
+    fit = max(sum(c in language for c in letters) for language in LETTERS) / len(letters) if letters else 0.0
+    return whole - foreign if whole else 0, fit
+
+
 def _latin(c: str) -> bool:
     return bool(c) and (c.isascii() and c.isalpha() or c in LATIN)
 

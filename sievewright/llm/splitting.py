@@ -8,7 +8,7 @@ that end, and where no boundary fits the cut is hard.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -87,7 +87,16 @@ def pieces(text: str, kind: str, max_tokens: int, overlap_tokens: int, ends: lis
         back = lambda end: max(0, end - 4 * overlap_tokens)
     else:
         sums = [0, *ends]
-        reach = lambda start: sums[min(len(sums) - 1, bisect_right(sums, start) - 1 + max_tokens)]
+
+        def reach(start: int) -> int:
+            k = bisect_right(sums, start) - 1 + max_tokens
+            if k >= len(sums) - 1:
+                return n
+            if sums[k + 1] == sums[k]:  # a character of several tokens that don't all fit
+                before = sums[bisect_left(sums, sums[k]) - 1]
+                return before if before > start else sums[k]
+            return sums[k]
+
         back = lambda end: sums[max(0, bisect_right(sums, end) - 1 - overlap_tokens)]
     ranks = boundaries(text, kind)
     if ends is not None:
@@ -120,10 +129,15 @@ def tokens_of(length: int) -> int:
 
 
 def token_ends(text: str, encoding) -> list[int]:
-    """The character offset at which each token of the text ends, the prefix sums of their lengths. A token that ends within a
-    character ends before it."""
+    """The character offset at which each token of the text ends, the prefix sums of their lengths. Tokens that share a character
+    all end behind it."""
     _, starts = encoding.decode_with_offsets(encoding.encode_ordinary(text))
-    return [*starts[1:], len(text)]
+    ends, end = [], len(text)
+    for k in range(len(starts) - 1, -1, -1):
+        ends.append(end)
+        if k and starts[k - 1] < starts[k]:
+            end = starts[k]
+    return ends[::-1]
 
 
 PIECES = "id bigint, piece_no int, start int, end int, n_tokens int, break_rank int, piece string"

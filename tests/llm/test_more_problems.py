@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from sievewright.llm import handwritten, leakage, parsing, secrets
+from sievewright.llm import encoding, handwritten, leakage, parsing, secrets
 
 from test_text_problems import _by_hand, _getters
 
@@ -170,3 +170,85 @@ def test_too_deep_is_neither(spark, monkeypatch):
     assert sorted((r["file_id"], r["accepted"]) for r in parsing.parse_files(df).collect()) == [(1, None), (2, False), (3, True)]
     (row,) = parsing.acceptance(df).collect()
     assert (row["language"], row["n_files"], row["n_rejected"], row["n_accepted"]) == ("JavaScript", 3, 1, 2)
+
+
+# ---------------------------------------------------------------- 8: encodings
+
+SENTENCES = {"de":["Größere Prüfungen für die Übergabe später.","Der Zähler wird zurückgesetzt, weil die Änderung ungültig wäre.","Schließlich läuft die Ausführung über mehrere Blöcke."],
+    "fr":["Le résultat du dernier contrôle a été enregistré après la vérification.","Cette méthode échoue dès que le modèle est déjà chargé à côté.","L'opération précédente reste protégée même où l'accès est limité."],
+    "es":["El año pasado se añadió una función más rápida según la petición.","La configuración está en el módulo de validación, también aquí.","Después de la última sesión no hay más información útil."],
+    "pt":["Após exceção não há memória disponível para a operação.","A configuração está no módulo de validação; também há opções.","Não é possível alterar a função sem permissão explícita."],
+    "pl":["Należy zwiększyć limit, ponieważ wątek główny czeka zbyt długo.","Każdą zmianę trzeba sprawdzić przed wysłaniem żądania.","Błąd pojawia się, gdy ścieżka jest już zajęta przez inny wątek."],
+    "cs":["Třída čeká na odpověď nejvýše několik sekund, než skončí.","Příliš dlouhý řádek se rozdělí podle nastavení šířky.","Změněné hodnoty se uloží až při dalším spuštění."],
+    "ru":["После проверки поток удаляет устаревшие записи и освобождает память.","Каждый модуль читает настройки из общего файла при запуске.","Ошибка возникает, когда очередь уже закрыта другим потоком."],
+    "ja":["テストでは正常系のみを確認しており、境界値の検証はまだありません。","このクラスは設定ファイルを読み込み、結果を保存します。","エラーが発生した場合は、再試行してから処理を終了します。"],
+    "sign":["“quoted” text — it’s naïve … and costs €5.","The café’s menu — “à la carte” — lists crème brûlée."]}
+#: Pairs of which less than nine tenths come back: letters that are as usual in another of the collection's languages.
+HARD = {"utf-8>iso8859-2": 20 / 23, "cp1250>cp1252": 1 / 2, "cp1252>cp1250": 3 / 7, "iso8859-2>latin-1": 5 / 6}
+
+
+def test_share_of_sentences_that_come_back():
+    """Of the sentences that lost no byte in garbling, those whose text equals the original afterwards, for every pair of the module."""
+    E = encoding
+    western = [x for x in SENTENCES if x not in ("ru", "ja", "sign")]
+    pairs = {f"utf-8>{w}": [x for x in SENTENCES if x != "ja" or w in ("cp1252", "latin-1")] for w in E.UTF8_READ_AS}
+    pairs |= {f"{a}>{b}": western for a, b in E.LATIN_READ_AS} | {f"{a}>{b}": ["ru"] for a, b in E.CYRILLIC_READ_AS} | {f"{a}>{b}": ["ja"] for a, b in E.KANA_READ_AS if b in ("cp1252", "mac_roman")}
+    for pair, languages in pairs.items():
+        true, wrong = pair.split(">")
+        n = same = 0
+        for plain in (s for x in languages for s in SENTENCES[x]):
+            try:
+                garbled = E._wrong(plain.encode(true), wrong)
+            except UnicodeEncodeError:
+                continue
+            if garbled != plain:
+                n += 1
+                same += E.repair(f"A plain line.\n{garbled}\nAnother.\n")[1] == f"A plain line.\n{plain}\nAnother.\n"
+        assert n and same >= HARD.get(pair, 0.9) * n, (pair, same, n)
+
+
+def test_recovered_means_that_nothing_is_left(spark):
+    rows = [(1, "fÃ¼r jede Größe"), (2, "T\u00f8\u00edda \u00e8ek\u00e1 na odpov\u00ec\u00ef prÃ¡ce \u00ec\ufffdx"), (3, "prÃ¼ft f\ufffdr")]
+    got = {r["doc_id"]: r["recovered"] for r in encoding.find_garbled(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: True, 2: False, 3: False}
+
+
+# ---------------------------------------------------------------- 5 and 6: splitting and packing
+
+
+def test_pieces_by_a_tokenizer(spark, folder):
+    import os
+
+    from sievewright.llm import splitting, vocab
+
+    file = vocab.path("byte_bpe_50k.tiktoken")
+    if not os.path.exists(file):
+        pytest.skip("no vocabulary here")
+    encoding_ = vocab.byte_bpe(file)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["alpha", "Größe", "日本語のテキスト", "x=1;", "\n\n", "def f():"], k=n)) for n in (5, 80, 400, 2000)]
+    rows = [(k, f"a{k}.py", t) for k, t in enumerate(texts)] + [(9, "b.py", None), (10, None, "")]
+    got = splitting.split_oversized(spark.createDataFrame(rows, "file_id long, file_path string, text string"), 50, 8, tokenizer=file).orderBy("id", "piece_no").collect()
+    assert {r["id"] for r in got} == {k for k, t in enumerate(texts) if len(encoding_.encode_ordinary(t)) > 50}
+    for k, t in enumerate(texts):
+        mine = [r for r in got if r["id"] == k]
+        ends = splitting.token_ends(t, encoding_)
+        for r in mine:
+            assert 0 < r["n_tokens"] <= 50 and r["n_tokens"] == sum(r["start"] < e <= r["end"] for e in ends) and r["piece"] == t[r["start"] : r["end"]]
+        for one, other in zip(mine, mine[1:]):
+            assert one["start"] < other["start"] <= one["end"] and sum(other["start"] < e <= one["end"] for e in ends) in range(0, 12)
+        assert not mine or (mine[0]["start"] == 0 and mine[-1]["end"] == len(t))
+
+
+def test_containers_of_huge_and_hot_items(spark, monkeypatch):
+    from sievewright.llm import packing
+
+    monkeypatch.setattr(packing, "GROUP_ROWS", 5)
+    rows = [(1, 50_003), (1, 50_003), (2, 30), (3, 10)] + [(7, 3)] * 400 + [(100 + k, 4) for k in range(50)]
+    got = packing.pack(spark.createDataFrame(rows, "id long, n_tokens int"), 10).collect()
+    fill, pieces = {}, 0
+    for r in got:
+        fill[r["container_id"]] = fill.get(r["container_id"], 0) + r["n_tokens"]
+        pieces += 1
+    assert pieces == 2 * 5001 + 3 + 1 + 400 + 50 and max(fill.values()) <= 10 and sum(fill.values()) == sum(n for _, n in rows)
+    assert set(fill) == set(range(len(fill))) and len(fill) <= 2 * 5000 + 3 + 1 + 25 + 134
