@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,100 +24,103 @@ def indent_of(text: str, at: int) -> str:
     return " " * len(text[text.rfind("\n", 0, at) + 1 : at].encode())
 
 
-def render(text: str, items: list[Item]) -> str:
-    """The outline: heads of types with an opening brace, fields in full, methods from their return type on with {...};
-    all closing braces stand at the end, innermost first. Properties and constructors are captured but not shown."""
-    lines, open_braces = [], []
-    for x in items:
-        pad = indent_of(text, x.start)
-        if x.kind in CLASS_LIKE:
-            if x.body is None:
-                lines.append(pad + text[x.start : x.end].rstrip())
-            else:
-                lines.append(pad + text[x.start : x.body].rstrip() + " {")
-                open_braces.append(pad)
-        elif x.kind in ("using", "field"):
-            lines.append(pad + text[x.start : x.end].rstrip())
-        elif x.kind == "method":
-            begin = x.start if x.sig is None else x.sig
-            lines.append(pad + (text[begin : x.end].rstrip() if x.body is None else text[begin : x.body].rstrip() + " {...}"))
-    return "\n".join(lines + [pad + "}" for pad in reversed(open_braces)])
+#: What stands in an outline for a declaration's body; declarations of other kinds are captured but not shown.
+SHOWN = {**dict.fromkeys(CLASS_LIKE, " {"), "method": " {...}", "field": "", "using": ""}
+
+
+def outline_line(text: str, x: Item) -> str | None:
+    """A declaration's line: without its body, a method from its return type on; null where its kind isn't shown."""
+    sign = SHOWN.get(x.kind)
+    if sign is None:
+        return None
+    stop = x.body if sign and x.body is not None else None
+    begin = x.sig if x.sig is not None and x.kind == "method" else x.start
+    return indent_of(text, x.start) + (text[begin : x.end].rstrip() if stop is None else text[begin:stop].rstrip() + sign)
 
 
 def outline(text: str | None, extension: str) -> str | None:
+    """The declarations' lines in order; the braces of all types that were opened stand at the end, innermost first."""
     if text is None:
         return None
-    return render(text, items_of(text, extension))
-
-
-def split_head(text: str, items: list[Item], python: bool) -> tuple[list[str], list[Item], int]:
-    """(head lines, the body's items, types at the top that have a body). Python has no head: its classes are blocks."""
-    head, body, count = [], [], 0
-    for x in items:
-        around = x
-        while around is not None and around.kind not in CLASS_LIKE:
-            around = around.parent
-        at_top = around is not None and around.top and not python
-        if at_top and x is around and x.kind == "class":
-            if x.body is None:
-                head.append(text[x.start : x.end])
-            else:
-                head.append(text[x.start : x.body].rstrip() + " {")
-                count += 1
-        elif at_top and x.kind == "field" and around.kind == "class":
-            head.append("    " + text[x.start : x.end].lstrip())
-        else:
-            body.append(x)
-    return head, body, count
-
-
-def outermost(body: list[Item]) -> list[Item]:
-    """Blocks of which none lies in another, in order: one pass over items sorted by start."""
-    out: list[Item] = []
-    for x in sorted(body, key=lambda x: (x.start, -x.end)):
-        if not out or x.end > out[-1].end:
-            if not out or x.start >= out[-1].end:
-                out.append(x)
-    return out
+    items = items_of(text, extension)
+    shown = filter(None, (outline_line(text, x) for x in items))
+    closing = [indent_of(text, x.start) + "}" for x in reversed(items) if x.kind in CLASS_LIKE and x.body is not None]
+    return "\n".join([*shown, *closing])
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How a file comes apart for its chunks: what may stand before each, how many types that opens, and the spans to pack."""
+
+    head: str
+    opened: int
+    blocks: list[tuple[int, int]]
+
+
+def layout(text: str, items: list[Item], python: bool) -> Layout:
+    """Classes at the top give their signatures and fields to the head, all else is a block; of blocks within one another only the
+    outermost is kept. Python has no head: its classes are blocks."""
+
+    def top_class(x: Item | None) -> Item | None:
+        while x is not None and x.kind not in CLASS_LIKE:
+            x = x.parent
+        return x if x is not None and x.kind == "class" and x.top and not python else None
+
+    lines: list[str] = []
+    opened, reach, blocks = 0, -1, []
+    for x in sorted(items, key=lambda x: (x.start, -x.end)):
+        holder = top_class(x)
+        if holder is x:
+            lines.append(text[x.start : x.end] if x.body is None else text[x.start : x.body].rstrip() + " {")
+            opened += x.body is not None
+        elif holder is not None and x.kind == "field":
+            lines.append("    " + text[x.start : x.end].lstrip())
+        elif x.start >= reach:
+            blocks.append((x.start, x.end))
+            reach = x.end
+    return Layout("\n".join(x.rstrip("\r\n") for x in lines).rstrip(), opened, blocks)
+
+
+def head_rule(head: str, limit: int) -> tuple[bool, int]:
+    """(does the head stand in each chunk, tokens left for blocks): it does if it takes no more than half."""
+    used = head != "" and tokens(head) <= limit // 2
+    return used, limit - tokens(head) * used
+
+
+def chunk_text(head: str, opened: int, blocks: list[str]) -> str:
+    """Blocks a blank line apart, behind the head if there is one, and the braces of the types that it opens."""
+    body = "\n\n".join(blocks).rstrip()
+    return "\n\n".join(filter(None, (head, body))) + "\n}" * (opened if head else 0)
+
+
+def runs(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
+    """Next-fit over sizes that fit one by one: (first, behind the last) of each group, by search in the prefix sums."""
+    sums = [0, *accumulate(sizes)]
+    at = 0
+    while at < len(sizes):
+        stop = bisect_right(sums, sums[at] + limit) - 1
+        yield at, stop
+        at = stop
 
 
 def chunks(text: str, extension: str, limit: int) -> Iterator[tuple[str, bool]]:
-    """(chunk, was something cut) under the limit: the head, where it takes no more than half, stands in each; blocks are
-    packed next-fit; a file without captures gives its first tokens, one with fields alone its head."""
-    if extension not in PARSEABLE:
-        yield text[: 4 * limit], tokens(text) > limit
-        return
-    head_parts, body, count = split_head(text, items := items_of(text, extension), extension == ".py")
+    """(chunk, was something cut) under the limit; separators and closing braces aren't counted. A file without captures gives its
+    first tokens, one with fields alone its head."""
+    items = items_of(text, extension) if extension in PARSEABLE else []
     if not items:
         yield text[: 4 * limit], tokens(text) > limit
         return
-    head = "\n".join(h.rstrip("\r\n") for h in head_parts).rstrip()
-    used = bool(head) and tokens(head) <= limit // 2
-    budget = limit - tokens(head) if used else limit
-    current: list[str] = []
-    held, cut, sent = 0, False, 0
-
-    def flush() -> str:
-        inner = "\n\n".join(current).rstrip()
-        if not used:
-            return inner
-        return head + ("\n\n" + inner if inner else "") + "\n}" * count
-
-    for x in outermost(body):
-        block = text[x.start : x.end]
-        over = tokens(block) > budget
-        block = block[: 4 * budget] if over else block
-        if current and held + tokens(block) > budget:
-            yield flush(), cut
-            sent += 1
-            current, held, cut = [], 0, False
-        current.append(block)
-        held += tokens(block)
-        cut = cut or over
-    if current:
-        yield flush(), cut
-    elif not sent:
-        yield (flush(), False) if used else (head[: 4 * limit], tokens(head) > limit)
+    plan = layout(text, items, extension == ".py")
+    used, budget = head_rule(plan.head, limit)
+    head = plan.head if used else ""
+    if not plan.blocks:
+        yield (chunk_text(head, plan.opened, []), False) if used else (plan.head[: 4 * limit], tokens(plan.head) > limit)
+        return
+    whole = [text[a:b] for a, b in plan.blocks]
+    cut = [tokens(x) > budget for x in whole]
+    parts = [x[: 4 * budget] for x in whole]
+    for a, b in runs([tokens(x) for x in parts], budget):
+        yield chunk_text(head, plan.opened, parts[a:b]), any(cut[a:b])
 
 
 OUTLINES = "file_id bigint, path string, text string, error string"
@@ -166,3 +172,18 @@ def captures(df: DataFrame, id_column: str = "file_id", path_column: str = "file
             yield from found
 
     return arrow_map(rows, per_batch, f"id {rows.schema['id'].dataType.simpleString()}, type string, start int, end int, error string").withColumnRenamed("id", id_column)
+
+
+def top_classes(df: DataFrame, id_column: str = "file_id", path_column: str = "file_path", text_column: str = "text") -> DataFrame:
+    """id and the number of classes at the top that have a body, of the files with a scanner; null where the scan fails. Python
+    has none, as its chunks have no head; null texts give no rows."""
+    rows = df.select(F.col(id_column).cast("bigint").alias("file_id"), suffix(F.col(path_column)).alias("ext"), F.col(text_column).alias("text")).where(F.col("text").isNotNull() & F.col("ext").isin(*PARSEABLE))
+
+    def per_batch(c: dict[str, list]) -> Iterator[tuple]:
+        for i, ext, text in zip(c["file_id"], c["ext"], c["text"]):
+            try:
+                yield i, layout(text, items_of(text, ext), ext == ".py").opened
+            except Exception:  # noqa: BLE001
+                yield i, None
+
+    return arrow_map(rows, per_batch, "file_id bigint, classes int")
