@@ -2,12 +2,14 @@
 
 The order is cut into blocks. What a block does depends only on the tokens that the open group brings along: at the first
 row that no longer fits a group begins afresh, and from there on all is settled. So each block is summed up as the few
-places where that first group may begin with what follows from each; the summaries are composed in order (one row a block),
-and a second pass numbers the groups."""
+places where that first group may begin with what follows from each; the summaries are composed in order, in tasks, and a
+second pass numbers the groups."""
 
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,6 +19,8 @@ from ..functions.arrow import materialize
 
 #: Rows of one block at most, about: they lie in a task's memory.
 BLOCK_ROWS = 500_000
+#: Summaries that one task puts together.
+FAN = 64
 
 
 def next_fit(sizes: list[int], limit: int, carried: int = 0, group: int = 0) -> tuple[list[int], int, int]:
@@ -60,22 +64,72 @@ def summary(sizes: list[int], limit: int) -> tuple[list[int], list[int], list[in
     return needs, groups, carries, sums[n]
 
 
-def compose(summaries: list[tuple[list[int], list[int], list[int], int]], limit: int) -> list[tuple[int, int]]:
+Summary = tuple[list[int], list[int], list[int], int]
+
+
+def follow(s: Summary, carried: int, limit: int) -> tuple[int, int]:
+    """(groups begun, tokens in the open one) after a block into which these tokens are carried; -1: no group is open."""
+    needs, groups, carries, total = s
+    carried = max(0, carried)
+    k = bisect_right(needs, limit - carried)
+    return (groups[k], carries[k]) if k < len(needs) else (0, carried + total)
+
+
+def then(f: Summary, g: Summary, limit: int) -> Summary:
+    """The summary of two blocks in a row; like each of them it has no more entries than the limit has tokens, and one."""
+    after = [follow(g, c, limit) for c in f[2]]
+    needs, groups, carries = list(f[0]), [n + m for n, (m, _) in zip(f[1], after)], [c for _, c in after]
+    if not needs or needs[-1] <= limit:
+        for need, n, c in zip(*g[:3]):
+            if not needs or need + f[3] > needs[-1]:
+                needs.append(need + f[3])
+                groups.append(n)
+                carries.append(c)
+                if needs[-1] > limit:
+                    break
+    return needs, groups, carries, f[3] + g[3]
+
+
+def compose(summaries: list[Summary], limit: int, carried: int = -1, group: int = 0) -> list[tuple[int, int]]:
     """For each block the tokens carried into it (-1: no group is open) and the number of the open group."""
-    out, carried, group = [], -1, 0
-    for needs, groups, carries, total in summaries:
+    out = []
+    for s in summaries:
         out.append((carried, group))
-        if not needs:
-            continue
-        k = bisect_right(needs, limit - max(0, carried))
-        if k < len(needs):
-            group += groups[k]
-            carried = carries[k]
-        else:
-            carried = max(0, carried) + total
+        begun, carried_on = follow(s, carried, limit)
+        if s[3] or s[0] or carried >= 0:
+            group, carried = group + begun, carried_on
     return out
 
 
+SUMMED = "block bigint, needs array<bigint>, groups array<bigint>, carries array<bigint>, total bigint"
+
+
+def _summaries(pdf: pd.DataFrame) -> list[Summary]:
+    pdf = pdf.sort_values("block")
+    return [(list(a), list(b), list(c), int(t)) for a, b, c, t in zip(pdf["needs"], pdf["groups"], pdf["carries"], pdf["total"])]
+
+
+def starts(summed: DataFrame, n: int, limit: int) -> dict[int, tuple[int, int]]:
+    """compose's result for all blocks. Summaries are put together FAN at a time in tasks, level by level, so that no more than
+    FAN of them reach the driver, and of each block two numbers."""
+    if n <= FAN:
+        rows = summed.orderBy("block").collect()
+        return dict(zip([r["block"] for r in rows], compose([(r["needs"], r["groups"], r["carries"], r["total"]) for r in rows], limit)))
+    above = summed.withColumn("above", F.expr(f"block div {FAN}"))
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        needs, groups, carries, total = reduce(lambda f, g: then(f, g, limit), _summaries(pdf))
+        return pd.DataFrame({"block": [pdf["above"].iloc[0]], "needs": [needs], "groups": [groups], "carries": [carries], "total": [total]})
+
+    upper = starts(materialize(above.groupBy("above").applyInPandas(merge, SUMMED), "pack-summaries"), -(-n // FAN), limit)
+
+    def spread(pdf: pd.DataFrame) -> pd.DataFrame:
+        each = compose(_summaries(pdf), limit, *upper[int(pdf["above"].iloc[0])])
+        return pd.DataFrame({"block": sorted(pdf["block"]), "carried": [c for c, _ in each], "number": [g for _, g in each]})
+
+    return {r["block"]: (r["carried"], r["number"]) for r in above.groupBy("above").applyInPandas(spread, "block bigint, carried bigint, number bigint").toLocalIterator()}
+
+
 def pack(df: DataFrame, order: list[str], tokens: Column, limit: int, blocks: int | None = None) -> DataFrame:
     """df's rows within the limit with group_id (from 0, in order), is_large false; larger ones with is_large true and no group.
 
@@ -85,10 +139,35 @@ def pack(df: DataFrame, order: list[str], tokens: Column, limit: int, blocks: in
     if limit < 0:
         raise ValueError("the limit must not be negative")
     columns = [c for c in df.columns if c not in ("group_id", "is_large", "t", "block")]
-    sized = df.select(*columns, F.coalesce(tokens.cast("bigint"), F.lit(0)).alias("t"))
-    small = sized.where(F.col("t") <= limit)
-    n = blocks or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-small.select("t").count() // BLOCK_ROWS))
-    rows = materialize(small.repartitionByRange(n, *order).withColumn("block", F.spark_partition_id()), "pack-blocks")
+    sized = materialize(df.select(*columns, F.coalesce(tokens.cast("bigint"), F.lit(0)).alias("t")), "pack-sizes")
+    small, large = oversize(sized, limit)
+    n = blocks or max(1, -(-small.count() // BLOCK_ROWS))
+    schema = _schema(sized) + ", group_id bigint"
+    packed = _one_block(small, order, limit, schema) if n == 1 else _blocks(small, order, limit, schema, n)
+    large = large.withColumns({"group_id": F.lit(None).cast("bigint"), "is_large": F.lit(True)})
+    return packed.withColumn("is_large", F.lit(False)).unionByName(large)
+
+
+def oversize(sized: DataFrame, limit: int, size: str = "t") -> tuple[DataFrame, DataFrame]:
+    """(rows that fit, larger ones); a size equal to the limit fits, a null one too."""
+    over = F.coalesce(F.col(size) > limit, F.lit(False))
+    return sized.where(~over), sized.where(over)
+
+
+def _one_block(small: DataFrame, order: list[str], limit: int, schema: str) -> DataFrame:
+    """Up to BLOCK_ROWS rows are sorted in one task and packed as they come."""
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        carried, group = -1, 0
+        for pdf in batches:
+            pdf["group_id"], carried, group = next_fit(pdf["t"].tolist(), limit, carried, group)
+            yield pdf
+
+    return small.coalesce(1).sortWithinPartitions(*order).mapInPandas(assign, schema)
+
+
+def _blocks(small: DataFrame, order: list[str], limit: int, schema: str, n: int) -> DataFrame:
+    rows = materialize(small.repartitionByRange(n, *order).withColumn("block", F.spark_partition_id().cast("bigint")), "pack-blocks")
 
     def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf.sort_values(order, kind="stable", na_position="first")
@@ -97,18 +176,16 @@ def pack(df: DataFrame, order: list[str], tokens: Column, limit: int, blocks: in
         needs, groups, carries, total = summary(ordered(pdf)["t"].tolist(), limit)
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], "needs": [needs], "groups": [groups], "carries": [carries], "total": [total]})
 
-    summed = rows.select(*order, "t", "block").groupBy("block").applyInPandas(sum_up, "block int, needs array<bigint>, groups array<bigint>, carries array<bigint>, total bigint").orderBy("block").collect()  # one row a block
-    starts = dict(zip([r["block"] for r in summed], compose([(r["needs"], r["groups"], r["carries"], r["total"]) for r in summed], limit)))
+    summed = materialize(rows.select(*order, "t", "block").groupBy("block").applyInPandas(sum_up, SUMMED), "pack-summaries")
+    begins = starts(summed, n, limit)
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = ordered(pdf)
-        carried, group = starts[int(pdf["block"].iloc[0])]
+        carried, group = begins[int(pdf["block"].iloc[0])]
         pdf["group_id"] = next_fit(pdf["t"].tolist(), limit, carried, group)[0]
         return pdf.drop(columns="block")
 
-    packed = rows.groupBy("block").applyInPandas(assign, _schema(rows, "block") + ", group_id bigint").withColumn("is_large", F.lit(False))
-    large = sized.where(F.col("t") > limit).withColumns({"group_id": F.lit(None).cast("bigint"), "is_large": F.lit(True)})
-    return packed.unionByName(large)
+    return rows.groupBy("block").applyInPandas(assign, schema)
 
 
 def _schema(df: DataFrame, *without: str) -> str:

@@ -1,7 +1,10 @@
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from sievewright.operators import packing
 from sievewright.operators.packing import compose, next_fit, pack, pack_in_buckets, summary, with_singletons
 
 SIZES = st.lists(st.integers(0, 12), max_size=40)
@@ -52,3 +55,27 @@ def test_nulls_repeats_and_clashing_names(spark):
     alone = with_singletons(pack(df, ["id"], F.col("size"), 10), ["id"]).where("is_large").first()
     assert alone["group_id"] < 0
     assert pack_in_buckets(df, "id", ["id"], F.col("size"), 10, 2).count() == 4
+
+
+def test_blocks_put_together_in_levels(spark, monkeypatch):
+    """However the order is cut and its summaries are put together, the groups are those of one pass."""
+    monkeypatch.setattr(packing, "FAN", 3)
+    rng = random.Random(8)
+    for limit, top in ((10, 10), (50, 9)):
+        sizes = [rng.choice([0, 0, rng.randint(0, top), rng.randint(0, limit)]) for _ in range(300)]
+        want = packing.next_fit(sizes, limit, -1)[0]
+        df = spark.createDataFrame(list(enumerate(sizes)), "id long, size int")
+        for blocks in (2, 40):
+            got = packing.pack(df, ["id"], F.col("size"), limit, blocks).orderBy("id").collect()
+            assert [r["group_id"] for r in got] == want, (limit, blocks)
+
+
+def test_summary_of_two_blocks_in_a_row():
+    rng = random.Random(3)
+    for _ in range(300):
+        limit = rng.randint(1, 30)
+        one, two = ([rng.randint(0, limit) for _ in range(rng.randint(0, 12))] for _ in range(2))
+        both = packing.then(packing.summary(one, limit), packing.summary(two, limit), limit)
+        for carried in range(limit + 1):
+            assert packing.follow(both, carried, limit) == packing.follow(packing.summary(one + two, limit), carried, limit)
+            assert len(both[0]) <= limit + 2
