@@ -17,7 +17,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--concurrency", type=int, default=100, help="calls at a time")
     p.add_argument("--no-refine", action="store_true", help="show the findings of each file as they are")
     p.add_argument("--no-outlines", action="store_true", help="analyse every file in full")
-    p.add_argument("--cache", help="folder of the cache")
+    p.add_argument("--cache", help="folder of the cache; by default one below the home folder, unless the environment turns caching off")
+    p.add_argument("--tokenizer", help="file of a tokenizer to count with; without it a token is four characters")
     return p
 
 
@@ -43,34 +44,39 @@ def main(argv: list[str] | None = None, paths: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     if args.question in ("outline", "chunk", "tokens") and args.files:
         return tool(args.question, args.files)
-    from pathlib import Path
+    import os
+
+    from pyspark.sql import functions as F
 
     from .config import from_environment
+    from .functions.arrow import clean, materialize
+    from .functions.text import parseable
     from .operators.cache import Cache
     from .operators.judge import HttpJudge, LexicalJudge
     from .plans.pipeline import search
-    from .sources.scan import whole_files
-    from .functions.text import parseable
-    from pyspark.sql import functions as F
+    from .sources.scan import path_list, read_listed
 
+    tell = lambda line: print(line, file=sys.stderr)
+    config = from_environment(concurrency=args.concurrency, refine=not args.no_refine, analyze_skeletons=not args.no_outlines, sample=args.sample, seed=args.seed, tokenizer=args.tokenizer, on_stage=tell)
+    spark = SparkSession.builder.appName("sievewright").getOrCreate()
     wanted = [x.strip() for x in (paths if paths is not None else sys.stdin)]
-    found = []
-    for x in filter(None, wanted):
-        if Path(x).is_file():
-            found.append(str(Path(x).resolve()))
-        else:
-            print(f"warning: {x} is not a file", file=sys.stderr)
-    if not found:
-        print("error: no files to search", file=sys.stderr)
+    listed = path_list(spark, [x if "://" in x or not x else os.path.abspath(x) for x in wanted])
+    listed = materialize(read_listed(listed), "listed")
+    for row in listed.where("problem is not null").orderBy("ord").toLocalIterator():
+        tell(f"warning: {row['path']} is not a file" if row["problem"] == "missing" else f"error: {row['problem']} [File: {row['path']}]")
+    files = listed.where("problem is null").select("path", "ord", "text", parseable(F.col("path")).alias("parseable"))
+    if files.isEmpty():
+        tell("error: no files to search")
         return 1
-    config = from_environment(concurrency=args.concurrency, refine=not args.no_refine, analyze_skeletons=not args.no_outlines, sample=args.sample, seed=args.seed)
-    spark = SparkSession.builder.appName("sievewright").getOrCreate()
-    files = whole_files(spark, found).withColumns({"ord": F.lit(0).cast("bigint"), "parseable": parseable(F.col("path"))})
+    folder = args.cache or os.environ.get("SIEVEWRIGHT_CACHE_DIR") or os.path.expanduser("~/.cache/sievewright")
     judge = HttpJudge(config.backend) if config.backend else LexicalJudge()
-    result = search(files, args.question, judge, config, Cache(spark, args.cache) if args.cache else None)
+    result = search(files, args.question, judge, config, Cache(spark, folder) if args.cache or config.cache_mode != "none" else None)
     print(result.render())
+    for row in result.warnings.toLocalIterator():
+        tell(f"warning: {row['message']} [File: {row['path']}]")
     for line in result.error_lines().toLocalIterator():
-        print(line["line"], file=sys.stderr)
+        tell(line["line"])
+    clean(spark)
     return 0
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 #: Token budgets, attempts and waits.
@@ -48,6 +49,10 @@ class SearchConfig:
     sample: int | None = None
     seed: int = 0
     backend: Backend | None = field(default=None)
+    #: File of a tokenizer to count with; without one a token is four characters.
+    tokenizer: str | None = None
+    #: Told a stage's name when the stage is done.
+    on_stage: Callable[[str], None] | None = field(default=None, compare=False)
 
     def __post_init__(self) -> None:
         if self.cache_mode not in CACHE_MODES:

@@ -69,10 +69,25 @@ def _local_root() -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh place under the folder that all executors share; a local one only where none is set, as in tests."""
+    """A fresh place under the folder that all executors share; a local one only where none is set and all runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    root = root or _local_root()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not root:
+        if not (spark.sparkContext.master or "").startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = _local_root()
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+_written: list[str] = []
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete the stages that this process has written; what reads them must have ended."""
+    while _written:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

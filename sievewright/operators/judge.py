@@ -12,10 +12,13 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark import Accumulator
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..config import ATTEMPTS, OUTPUT_TOKENS, TRANSIENT_WAIT, Backend
 from ..functions.arrow import arrow_map
+from .cache import store_answers
 
 
 class RateLimited(Exception):
@@ -34,6 +37,8 @@ class Judge(Protocol):
     def ask(self, messages: list[dict[str, str]], model: str) -> str: ...
 
 
+#: A document's label, see plans.prompts.labelled.
+LABEL = re.compile(r"(?m)^<<< (.+) >>>\n")
 TERM = re.compile(r"[a-z0-9_]{5,}")
 
 
@@ -48,6 +53,9 @@ class LexicalJudge:
     Over a batch it lists the paths of the documents that count, over one source the lines that do, over notes the distinct
     lines in order."""
 
+    #: Costs a core rather than a place in a service's queue.
+    remote = False
+
     def ask(self, messages: list[dict[str, str]], model: str) -> str:
         task = messages[0]["content"].split("\n", 1)[0]
         question = messages[-1]["content"].rsplit("```", 2)[-2] if "```" in messages[-1]["content"] else messages[-1]["content"]
@@ -55,9 +63,9 @@ class LexicalJudge:
         counts = lambda text: any(w in text.lower() for w in wanted)
         content = messages[1]["content"] if len(messages) > 1 else ""
         if task == "filter":
-            parts = re.split(r"(?m)^### (.+)\n", content)
+            parts = LABEL.split(content)
             return "\n".join(path for path, text in zip(parts[1::2], parts[2::2]) if counts(text)) or "none"
-        lines = [x for x in content.split("\n") if x.strip() and not x.startswith("### ")]
+        lines = [x for x in content.split("\n") if x.strip() and not LABEL.match(x + "\n")]
         if task == "map":
             return "\n".join(x for x in lines if counts(x)) or "nothing relevant"
         return "\n".join(sorted(set(lines))) or "nothing relevant"
@@ -115,6 +123,11 @@ def wait_for(attempt: int, jitter: float = 0.0) -> float:
     return 2.0**attempt + 5.0 * jitter
 
 
+def waits(attempt: Column) -> Column:
+    """The same of a column, without jitter."""
+    return F.pow(F.lit(2.0), attempt)
+
+
 def ask(judge: Judge, messages: list[dict[str, str]], model: str, sleep: Callable[[float], None] = time.sleep, jitter: Callable[[], float] = random.random) -> tuple[str | None, str | None, str | None, str | None, int]:
     """(answer, error kind, message, cause, attempts). Blank answers count as passing failures; any other exception is internal."""
     last: Exception | None = None
@@ -140,19 +153,35 @@ def ask(judge: Judge, messages: list[dict[str, str]], model: str, sleep: Callabl
 ASKED = "cache_key string, path string, answer string, kind string, message string, cause string, attempts int"
 
 
-def ask_all(requests: DataFrame, judge: Judge, threads: int = 8) -> DataFrame:
+#: Answers that a worker holds at most before it stores them, and seconds.
+STORE_ROWS, STORE_SECONDS = 64, 30.0
+
+
+def ask_all(requests: DataFrame, judge: Judge, threads: int = 8, store: str | None = None, lines: Accumulator | None = None) -> DataFrame:
     """Asks each request (cache_key, model, messages, path) once; an answer or an error for each, in ASKED's columns.
 
-    Write the result before using it twice: reading it again would ask again."""
+    store: a cache's folder, to which workers add answers while the stage runs, so that one which fails loses no more than
+    STORE_ROWS or STORE_SECONDS of each worker. lines: counts the answers' line feeds. Write the result before using it twice:
+    reading it again would ask again."""
 
     def setup():
         pool = ThreadPoolExecutor(threads)
 
         def per_batch(c: dict[str, list]) -> Iterator[tuple]:
             jobs = [pool.submit(ask, judge, m, model) for m, model in zip(c["messages"], c["model"])]
+            held, since = [], time.monotonic()
             for key, path, job in zip(c["cache_key"], c["path"], jobs):
                 answer, kind, message, cause, attempts = job.result()
+                if answer is not None:
+                    held.append((key, answer))
+                    if lines is not None:
+                        lines.add(answer.count("\n"))
+                if store and held and (len(held) >= STORE_ROWS or time.monotonic() - since >= STORE_SECONDS):
+                    store_answers(store, held)
+                    held, since = [], time.monotonic()
                 yield key, path, answer, kind, message, cause, attempts
+            if store and held:
+                store_answers(store, held)
 
         return per_batch
 

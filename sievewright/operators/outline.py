@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import accumulate
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrow import arrow_map
 from ..functions.text import PARSEABLE, suffix
+from ..functions.tokens import Counter
 from .scanners import CLASS_LIKE, Item, items_of
 
 
@@ -81,10 +82,10 @@ def layout(text: str, items: list[Item], python: bool) -> Layout:
     return Layout("\n".join(x.rstrip("\r\n") for x in lines).rstrip(), opened, blocks)
 
 
-def head_rule(head: str, limit: int) -> tuple[bool, int]:
+def head_rule(head: str, limit: int, count: Callable[[str], int] = tokens) -> tuple[bool, int]:
     """(does the head stand in each chunk, tokens left for blocks): it does if it takes no more than half."""
-    used = head != "" and tokens(head) <= limit // 2
-    return used, limit - tokens(head) * used
+    used = head != "" and count(head) <= limit // 2
+    return used, limit - count(head) * used
 
 
 def chunk_text(head: str, opened: int, blocks: list[str]) -> str:
@@ -103,23 +104,24 @@ def runs(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
         at = stop
 
 
-def chunks(text: str, extension: str, limit: int) -> Iterator[tuple[str, bool]]:
+def chunks(text: str, extension: str, limit: int, counter: Counter | None = None) -> Iterator[tuple[str, bool]]:
     """(chunk, was something cut) under the limit; separators and closing braces aren't counted. A file without captures gives its
     first tokens, one with fields alone its head."""
+    count, cut_to = (counter or Counter()).plain()
     items = items_of(text, extension) if extension in PARSEABLE else []
     if not items:
-        yield text[: 4 * limit], tokens(text) > limit
+        yield cut_to(text, limit), count(text) > limit
         return
     plan = layout(text, items, extension == ".py")
-    used, budget = head_rule(plan.head, limit)
+    used, budget = head_rule(plan.head, limit, count)
     head = plan.head if used else ""
     if not plan.blocks:
-        yield (chunk_text(head, plan.opened, []), False) if used else (plan.head[: 4 * limit], tokens(plan.head) > limit)
+        yield (chunk_text(head, plan.opened, []), False) if used else (cut_to(plan.head, limit), count(plan.head) > limit)
         return
     whole = [text[a:b] for a, b in plan.blocks]
-    cut = [tokens(x) > budget for x in whole]
-    parts = [x[: 4 * budget] for x in whole]
-    for a, b in runs([tokens(x) for x in parts], budget):
+    cut = [count(x) > budget for x in whole]
+    parts = [cut_to(x, budget) if over else x for x, over in zip(whole, cut)]
+    for a, b in runs([min(budget, count(x)) for x in parts], budget):
         yield chunk_text(head, plan.opened, parts[a:b]), any(cut[a:b])
 
 
@@ -141,7 +143,7 @@ def outlines(df: DataFrame, id_column: str = "file_id", path_column: str = "file
     return arrow_map(rows, per_batch, OUTLINES)
 
 
-def chunked(df: DataFrame, limit: int, id_column: str = "file_id", path_column: str = "file_path", text_column: str = "text") -> DataFrame:
+def chunked(df: DataFrame, limit: int, id_column: str = "file_id", path_column: str = "file_path", text_column: str = "text", counter: Counter | None = None) -> DataFrame:
     """Each file's chunks, numbered from 0. Null texts give one row with a null chunk."""
     rows = df.select(F.col(id_column).cast("bigint").alias("file_id"), F.col(path_column).alias("path"), suffix(F.col(path_column)).alias("ext"), F.col(text_column).alias("text"))
 
@@ -151,7 +153,7 @@ def chunked(df: DataFrame, limit: int, id_column: str = "file_id", path_column:
                 yield i, path, 0, None, False, None
                 continue
             try:
-                for k, (chunk, cut) in enumerate(chunks(text, ext or "", limit)):
+                for k, (chunk, cut) in enumerate(chunks(text, ext or "", limit, counter)):
                     yield i, path, k, chunk, cut, None
             except Exception as e:  # noqa: BLE001
                 yield i, path, 0, None, False, f"{type(e).__name__}: {e}"

@@ -40,6 +40,11 @@ def ordered_concat(df: DataFrame, key: str, order: list[str], text: Column, betw
     return df.groupBy(key).agg(F.array_join(F.transform(items, lambda s: s["x"]), between).alias("text"))
 
 
+def placed(spans: DataFrame, key: str = "path") -> DataFrame:
+    """Spans with their place within the key, from 1, in order of start, end and type; equal ones in any order."""
+    return spans.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("start", "end", "type")))
+
+
 def not_within(spans: DataFrame, keep: Column, key: str = "path") -> DataFrame:
     """Spans that lie in none of the others that keep marks, by one window instead of a join of intervals: in order of start
     (longer first) a span is inside another exactly if an earlier marked one reaches its end or beyond."""

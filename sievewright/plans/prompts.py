@@ -7,13 +7,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+MAP = "You are shown source code. Sum up what of it bears on the question, and quote the parts that do."
+READ_SOURCE = "I have read the source."
+LEFT_OUT = "Name what the answer above left out."
+
+
 def _turn(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
 
 def labelled(path: Column, text: Column) -> Column:
     """A document under its path, for a batch."""
-    return F.concat(F.lit("### "), path, F.lit("\n"), F.coalesce(text, F.lit("")), F.lit("\n\n"))
+    return F.concat(F.lit("<<< "), F.coalesce(path, F.lit("")), F.lit(" >>>\n"), F.coalesce(text, F.lit("")), F.lit("\n\n"))
 
 
 def fenced(question: str) -> Column:
@@ -34,9 +39,9 @@ def filter_messages(documents: Column, question: str) -> Column:
 def map_messages(path: Column, source: Column, question: str) -> Column:
     """What in this source matters."""
     return F.array(
-        _turn("system", F.lit("map\nYou are shown source code. Sum up what of it bears on the question, and quote the parts that do.")),
+        _turn("system", F.lit(f"map\n{MAP}")),
         _turn("user", labelled(path, source)),
-        _turn("assistant", F.lit("I have read the source.")),
+        _turn("assistant", F.lit(READ_SOURCE)),
         _turn("user", fenced(question)),
     )
 
@@ -51,6 +56,11 @@ def reduce_messages(notes: Column, question: str) -> Column:
     )
 
 
+def transcript(messages: Column) -> Column:
+    """A conversation as text: each turn behind its role, a blank line between them."""
+    return F.array_join(F.transform(messages, lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n\n")
+
+
 def recheck_messages(messages: Column, answer: Column, question: str) -> Column:
     """The second call of a reduction: it sees the first answer and looks for what it lacks."""
-    return F.concat(messages, F.array(_turn("assistant", answer), _turn("user", F.concat(F.lit("Name what the answer above left out.\n"), fenced(question)))))
+    return F.concat(messages, F.array(_turn("assistant", answer), _turn("user", F.concat(F.lit(f"{LEFT_OUT}\n"), fenced(question)))))

@@ -6,18 +6,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..config import SearchConfig
+from ..config import ATTEMPTS, SearchConfig
 from ..functions import text as X
-from ..functions.arrow import materialize, table
+from ..functions.arrow import arrow_map, materialize, shared_path, table
 from ..functions.tokens import token_count, token_count_regex, truncate, was_truncated
 from ..operators import cache as caching
-from ..operators.judge import LexicalJudge, terms
-from ..operators.outline import captures, chunked, outlines
-from ..operators.packing import pack, with_singletons
-from ..operators.relational import not_within, sample_exactly, sorted_concat, survivors
+from ..operators.judge import LexicalJudge, Rejected, terms, waits
+from ..operators.outline import captures, chunk_text, chunked, head_rule, outlines, runs, tokens, top_classes
+from ..operators.packing import oversize, pack, with_singletons
+from ..operators.relational import not_within, placed, sample_exactly, sorted_concat, survivors
 from ..operators.scanners import CLASS_LIKE
 from ..sources.scan import as_files, existing, missing
-from . import pipeline, prompts
+from ..streaming.files import search_stream
+from . import goldens, pipeline, prompts
 
 QUESTION = "Where does the constructor wire a session into the adapter, and which resolver checks the deadline?"
 PACK_LIMIT = 2000
@@ -71,7 +72,18 @@ def suffix_dispatch(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT file_path AS path, file_id AS ord, 'other' AS side FROM source_text")
 def skip_skeleton_branch(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "source_text").select(F.col("file_path").alias("path"), F.col("file_id").alias("ord"), F.lit("other").alias("side"))
+    return _sides(spark, folder, False)
+
+
+@query("""SELECT path, ord, side FROM (SELECT file_path AS path, file_id AS ord, CASE WHEN parseable THEN 'outlined' ELSE 'other' END AS side,
+    row_number() OVER (PARTITION BY file_path, parseable ORDER BY file_id DESC) AS k FROM source_text) WHERE side = 'other' OR k = 1""")
+def split_sides(spark: SparkSession, folder: str) -> DataFrame:
+    return _sides(spark, folder, True)
+
+
+def _sides(spark: SparkSession, folder: str, outlines_too: bool) -> DataFrame:
+    outlined, other = pipeline.sides(as_files(table(spark, folder, "source_text")), SearchConfig(analyze_skeletons=outlines_too))
+    return outlined.select("path", "ord", F.lit("outlined").alias("side")).unionByName(other.select("path", "ord", F.lit("other").alias("side")))
 
 
 @query("SELECT file_id, file_path FROM source_text ORDER BY md5('7:' || CAST(file_id AS VARCHAR)), file_id LIMIT 100")
@@ -79,13 +91,12 @@ def sample_exact_n(spark: SparkSession, folder: str) -> DataFrame:
     return sample_exactly(table(spark, folder, "source_text").select("file_id", "file_path"), 100, 7, "file_id")
 
 
-@query("""SELECT q.cache_key, q.path, r.seq FROM (SELECT DISTINCT cache_key, path FROM requests WHERE path IS NOT NULL) q
+@query("""SELECT DISTINCT q.cache_key, q.path FROM (SELECT DISTINCT cache_key, path FROM requests WHERE path IS NOT NULL) q
     JOIN responses r ON r.cache_key = q.cache_key WHERE contains(r.response, q.path)""")
 def substring_survivors(spark: SparkSession, folder: str) -> DataFrame:
-    answers = table(spark, folder, "responses").select("cache_key", "seq", F.col("response").alias("answer"))
+    answers = table(spark, folder, "responses").select("cache_key", F.col("response").alias("answer"))
     members = table(spark, folder, "requests").select("cache_key", "path").where("path is not null").distinct()
-    joined = members.join(answers, "cache_key").where(F.contains("answer", "path"))
-    return joined.select("cache_key", "path", "seq")
+    return survivors(answers, members, "cache_key").select("cache_key", "path").distinct()
 
 
 @query("SELECT source, count(*) AS n, CAST(sum(length(response)) AS BIGINT) AS chars FROM responses WHERE regexp_matches(response, '[^ \\t\\n\\x0B\\f\\r]') GROUP BY source")
@@ -96,8 +107,7 @@ def not_blank_answers(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT file_id, (length(text) + 3) // 4 AS t FROM source_text WHERE (length(text) + 3) // 4 > 4000")
 def oversize_split(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "source_text").select("file_id", token_count(F.col("text")).cast("bigint").alias("t"))
-    return rows.where("t > 4000")
+    return oversize(table(spark, folder, "source_text").select("file_id", token_count(F.col("text")).cast("bigint").alias("t")), 4000)[1]
 
 
 # ---------------------------------------------------------------- tokens
@@ -179,34 +189,66 @@ def byte_slice(spark: SparkSession, folder: str) -> DataFrame:
     FROM (SELECT file_id, regexp_extract(text, '^[^{]*') AS head FROM source_text WHERE text IS NOT NULL)""")
 def chunk_head_budget(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "source_text").where("text is not null").select("file_id", F.regexp_extract("text", "^[^{]*", 0).alias("head"))
-    t = token_count(F.col("head")).cast("bigint")
-    used = (t <= 250) & (F.col("head") != "")
-    return rows.select("file_id", t.alias("head_tokens"), used.alias("head_used"), F.when(used, 500 - t).otherwise(F.lit(500).cast("bigint")).alias("body_budget"))
 
+    def rule(c: dict[str, list]):
+        for i, head in zip(c["file_id"], c["head"]):
+            yield i, tokens(head), *head_rule(head, 500)
+
+    return arrow_map(rows, rule, "file_id bigint, head_tokens bigint, head_used boolean, body_budget bigint")
 
-@query("SELECT file_id, md5('head' || chr(10) || chr(10) || regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+$', '') || chr(10) || repeat('}', 2)) AS rendered_md5 FROM source_text")
+
+_BLANKS = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+@query(rf"""SELECT file_id, md5('head' || CASE WHEN body = '' THEN '' ELSE chr(10) || chr(10) || body END || repeat(chr(10) || '}}', 2)) AS rendered_md5
+    FROM (SELECT file_id, regexp_replace(coalesce(text, ''), '{_BLANKS}+$', '') AS body FROM source_text)""")
 def chunk_render(spark: SparkSession, folder: str) -> DataFrame:
-    body = X.right_trim(F.coalesce("text", F.lit("")))
-    return table(spark, folder, "source_text").select("file_id", F.md5(F.concat(F.lit("head\n\n"), body, F.lit("\n"), F.repeat(F.lit("}"), F.lit(2)))).alias("rendered_md5"))
+    def render(c: dict[str, list]):
+        for i, text in zip(c["file_id"], c["text"]):
+            yield i, chunk_text("head", 2, [text or ""])
+
+    return arrow_map(table(spark, folder, "source_text").select("file_id", "text"), render, "file_id bigint, text string").select("file_id", F.md5("text").alias("rendered_md5"))
+
 
+@query("""SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY k) - 1 AS INTEGER) AS chunk_no, first, n FROM (
+    WITH RECURSIVE lines AS (SELECT file_id, generate_subscripts(l, 1) AS k, (length(unnest(l)) + 3) // 4 AS t FROM (SELECT file_id, string_split(regexp_replace(text, '\\\\r\\\\n?', chr(10), 'g'), chr(10)) AS l FROM source_text WHERE text IS NOT NULL)),
+    fit AS (SELECT file_id, k, least(t, 200) AS held, k AS first FROM lines WHERE k = 1
+    UNION ALL SELECT s.file_id, s.k, CASE WHEN f.held + least(s.t, 200) > 200 THEN least(s.t, 200) ELSE f.held + least(s.t, 200) END, CASE WHEN f.held + least(s.t, 200) > 200 THEN s.k ELSE f.first END FROM fit f JOIN lines s ON s.file_id = f.file_id AND s.k = f.k + 1)
+    SELECT file_id, min(k) AS k, CAST(first - 1 AS INTEGER) AS first, count(*) AS n FROM fit GROUP BY file_id, first)""")
+def chunk_lines_pack(spark: SparkSession, folder: str) -> DataFrame:
+    """The chunker's packing over the lines of every file, each of which counts as a block that is cut to the budget."""
+    rows = table(spark, folder, "source_text", True).where("text is not null").select("file_id", X.universal_newlines(F.col("text")).alias("text"))
 
-_SPANS = [("a", "class", 0, 100), ("a", "method", 10, 30), ("a", "class", 40, 90), ("a", "field", 45, 50), ("a", "method", 100, 120), ("b", "method", 0, 50), ("b", "method", 10, 20), ("b", "enum", 60, 80), ("b", "field", 60, 80), ("c", "class", 5, 6)]
-_VALUES = ", ".join(f"('{p}', '{k}', {a}, {b})" for p, k, a, b in _SPANS)
+    def packed(c: dict[str, list]):
+        for i, text in zip(c["file_id"], c["text"]):
+            for k, (a, b) in enumerate(runs([min(200, tokens(x)) for x in text.split("\n")], 200)):
+                yield i, k, a, b - a
 
+    return arrow_map(rows, packed, "file_id bigint, chunk_no int, first int, n bigint")
 
-@query(f"""WITH s AS (SELECT * FROM (VALUES {_VALUES}) v(path, type, "start", "end"))
-    SELECT path, type, "start", "end" FROM s b WHERE NOT EXISTS (SELECT 1 FROM s a WHERE a.path = b.path AND a.type IN ('class', 'interface', 'enum') AND a."start" <= b."start" AND b."end" <= a."end" AND NOT (a.type = b.type AND a."start" = b."start" AND a."end" = b."end"))""")
+
+# Spans over whole tables that SQL can make too: a response lies where its number and length put it within its path.
+_SPANS = """SELECT DISTINCT path, CASE WHEN source = 'edge-cache' THEN 'class' ELSE 'method' END AS type, CAST(seq % 997 AS INTEGER) AS "start", CAST(seq % 997 + length(response) % 400 AS INTEGER) AS "end"
+    FROM responses WHERE path IS NOT NULL AND response IS NOT NULL"""
+
+
+def _spans(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "responses").where("path is not null and response is not null")
+    start = F.col("seq") % 997
+    kind = F.when(F.col("source") == "edge-cache", "class").otherwise("method")
+    return rows.select("path", kind.alias("type"), start.cast("int").alias("start"), (start + F.length("response") % 400).cast("int").alias("end")).distinct()
+
+
+@query(f"""WITH s AS ({_SPANS}) SELECT path, type, "start", "end" FROM s b WHERE NOT EXISTS (SELECT 1 FROM s a WHERE a.path = b.path AND a.type = 'class' AND a."start" <= b."start" AND b."end" <= a."end" AND NOT (a.type = b.type AND a."start" = b."start" AND a."end" = b."end"))""")
 def containment_antijoin(spark: SparkSession, folder: str) -> DataFrame:
-    spans = spark.createDataFrame(_SPANS, "path string, type string, start int, end int")
-    rank = F.when(F.col("type").isin("class", "interface", "enum"), F.concat(F.lit("z"), "type")).otherwise(F.col("type"))
-    return not_within(spans.withColumn("type", rank), F.col("type").startswith("z")).select("path", F.regexp_replace("type", "^z", "").alias("type"), "start", "end")
+    spans = _spans(spark, folder)
+    rank = F.when(F.col("type") == "class", "z").otherwise("m")
+    return not_within(spans.withColumns({"kind": F.col("type"), "type": rank}), F.col("type") == "z").select("path", F.col("kind").alias("type"), "start", "end")
 
 
-@query(f"""WITH s AS (SELECT * FROM (VALUES {_VALUES}) v(path, type, "start", "end"))
-    SELECT path, type, "start", CAST(row_number() OVER (PARTITION BY path ORDER BY "start", "end", type) AS INTEGER) AS place FROM s""")
+@query(f"""WITH s AS ({_SPANS}) SELECT path, type, "start", "end", CAST(row_number() OVER (PARTITION BY path ORDER BY "start", "end", type) AS INTEGER) AS place FROM s""")
 def stable_sort_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    spans = spark.createDataFrame(_SPANS, "path string, type string, start int, end int")
-    return spans.select("path", "type", "start", F.row_number().over(Window.partitionBy("path").orderBy("start", "end", "type")).alias("place"))
+    return placed(_spans(spark, folder), "path")
 
 
 @query()
@@ -216,7 +258,7 @@ def captures_not_within(spark: SparkSession, folder: str) -> DataFrame:
     keep = F.col("type").isin(*CLASS_LIKE)
     ranked = spans.where("error is null").withColumn("type", F.concat(F.when(keep, "z").otherwise("a"), "type"))
     left = not_within(ranked, F.col("type").startswith("z"), "file_id").withColumn("type", F.substring("type", 2, 1 << 30))
-    return left.select("file_id", "type", "start", "end", F.row_number().over(Window.partitionBy("file_id").orderBy("start", "end", "type")).alias("place"), "error").unionByName(spans.where("error is not null").withColumn("place", F.lit(None).cast("int")))
+    return placed(left, "file_id").select("file_id", "type", "start", "end", "place", "error").unionByName(spans.where("error is not null").withColumn("place", F.lit(None).cast("int")))
 
 
 def _of_language(spark: SparkSession, folder: str, extension: str) -> DataFrame:
@@ -259,9 +301,30 @@ def chunk_other(spark: SparkSession, folder: str) -> DataFrame:
     return chunked(rows, 2000).select("file_id", "chunk")
 
 
-@query("SELECT file_id, CAST((length(text) - length(replace(text, 'class ', ''))) // 6 AS BIGINT) AS classes FROM source_text")
+@query()
 def class_count(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "source_text").select("file_id", X.occurrences(F.col("text"), "class ").alias("classes"))
+    return top_classes(table(spark, folder, "source_text", True))
+
+
+def _quoted(x) -> str:
+    if x is None or isinstance(x, bool | int):
+        return "NULL" if x is None else str(x)
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _values(rows: list[tuple], columns: str) -> str:
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_quoted, r)) + ')' for r in rows)}) v({columns})"
+
+
+@query(_values([(k, outline) for k, (_, _, outline, _) in enumerate(goldens.CASES)], "file_id, text"))
+def outline_goldens(spark: SparkSession, folder: str) -> DataFrame:
+    """The outlines of sources whose outlines were written down by hand."""
+    return outlines(goldens.files(spark)).select(F.col("file_id").cast("int").alias("file_id"), "text")
+
+
+@query(_values([(k, n, chunk) for k, (_, _, _, chunks) in enumerate(goldens.CASES) for n, chunk in enumerate(chunks)], "file_id, chunk_no, chunk"))
+def chunk_goldens(spark: SparkSession, folder: str) -> DataFrame:
+    return chunked(goldens.files(spark), goldens.LIMIT).select(F.col("file_id").cast("int").alias("file_id"), "chunk_no", "chunk")
 
 
 # ---------------------------------------------------------------- grouping, sets
@@ -298,8 +361,20 @@ def newline_progress(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""SELECT cache_key, md5(array_to_string(list_transform(messages, lambda m: m.role || ': ' || m.content), chr(10) || chr(10))) AS rendered_md5, len(messages) AS turns FROM requests""")
 def render_messages(spark: SparkSession, folder: str) -> DataFrame:
-    joined = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n\n")
-    return table(spark, folder, "requests").select("cache_key", F.md5(joined).alias("rendered_md5"), F.size("messages").cast("bigint").alias("turns"))
+    return table(spark, folder, "requests").select("cache_key", F.md5(prompts.transcript(F.col("messages"))).alias("rendered_md5"), F.size("messages").cast("bigint").alias("turns"))
+
+
+_ASKED = f"The question is:\n```\n{QUESTION}\n```"
+
+
+@query(f"""SELECT file_id, md5(m1 || d || m2) AS map_md5, md5(r1 || d || m2 || r2) AS recheck_md5 FROM (SELECT file_id, '<<< ' || coalesce(file_path, '') || ' >>>' || chr(10) || text || chr(10) || chr(10) AS d,
+    {_quoted("system: map" + chr(10) + prompts.MAP + chr(10) * 2 + "user: ")} AS m1, {_quoted(chr(10) * 2 + "assistant: " + prompts.READ_SOURCE + chr(10) * 2 + "user: " + _ASKED)} AS m2,
+    {_quoted("system: map" + chr(10) + prompts.MAP + chr(10) * 2 + "user: ")} AS r1, {_quoted(chr(10) * 2 + "assistant: first" + chr(10) * 2 + "user: " + prompts.LEFT_OUT + chr(10) + _ASKED)} AS r2 FROM source_text WHERE text IS NOT NULL)""")
+def prompt_messages(spark: SparkSession, folder: str) -> DataFrame:
+    messages = prompts.map_messages(F.col("file_path"), F.col("text"), QUESTION)
+    again = prompts.recheck_messages(messages, F.lit("first"), QUESTION)
+    rows = table(spark, folder, "source_text").where("text is not null")
+    return rows.select("file_id", F.md5(prompts.transcript(messages)).alias("map_md5"), F.md5(prompts.transcript(again)).alias("recheck_md5"))
 
 
 @query("SELECT sha256(to_json({messages: messages, model: coalesce(model, '')})) AS own_key, count(*) AS n FROM requests GROUP BY 1")
@@ -330,10 +405,14 @@ def cache_probe_misses(spark: SparkSession, folder: str) -> DataFrame:
     return caching.misses(caching.once_each(table(spark, folder, "requests")), _cache(spark, folder)).select("cache_key")
 
 
-@query("SELECT cache_key, seq FROM responses WHERE cache_key NOT IN (SELECT cache_key FROM requests WHERE model IS NULL)")
+@query("""SELECT cache_key, md5(coalesce(response, '')) AS response_md5 FROM (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY ts DESC, seq DESC) AS k FROM responses)
+    WHERE k = 1 AND cache_key NOT IN (SELECT cache_key FROM requests WHERE model IS NULL)""")
 def cache_delete(spark: SparkSession, folder: str) -> DataFrame:
-    gone = table(spark, folder, "requests").where("model is null").select("cache_key")
-    return table(spark, folder, "responses").select("cache_key", "seq").join(gone, "cache_key", "left_anti")
+    """A cache on disk of the last responses, from which keys are deleted."""
+    cache = caching.Cache(spark, shared_path(spark, "deleted-cache"))
+    cache.upsert(caching.last_wins(table(spark, folder, "responses").select("cache_key", "response", "ts", "seq")))
+    cache.delete(table(spark, folder, "requests").where("model is null").select("cache_key").distinct())
+    return cache.rows().select("cache_key", digest(F.col("response")).alias("response_md5"))
 
 
 @query("SELECT seq, md5(CASE WHEN json_valid(response) THEN json_extract_string(response, '$.answer') END) AS answer_md5 FROM responses")
@@ -355,19 +434,35 @@ def error_render(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "errors").select("kind", "path", X.error_text(F.col("message"), F.col("path"), F.col("cause")).alias("line"))
 
 
-@query("SELECT coalesce(e.kind, 'answered') AS kind, count(*) AS n FROM (SELECT DISTINCT path FROM source_text s0(a, path)) s LEFT JOIN (SELECT path, min(kind) AS kind FROM errors GROUP BY path) e ON e.path = s.path GROUP BY 1".replace("source_text s0(a, path)", "(SELECT file_path AS path FROM source_text)"))
+class HalfJudge(LexicalJudge):
+    """Turns down texts with an odd number of characters, and fails inside on those of a multiple of six. For queries and tests."""
+
+    def ask(self, messages, model):
+        n = len(messages[0]["content"])
+        if n % 2:
+            raise Rejected("odd")
+        if n % 6 == 0:
+            raise KeyError("six")
+        return "even"
+
+
+@query("SELECT CASE WHEN length(text) % 2 = 1 THEN 'request' WHEN length(text) % 6 = 0 THEN 'internal' ELSE 'answered' END AS kind, count(DISTINCT text) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1")
 def partial_failure_split(spark: SparkSession, folder: str) -> DataFrame:
-    failed = table(spark, folder, "errors").groupBy("path").agg(F.min("kind").alias("kind"))
-    paths = table(spark, folder, "source_text").select(F.col("file_path").alias("path")).distinct()
-    return paths.join(failed, "path", "left").groupBy(F.coalesce("kind", F.lit("answered")).alias("kind")).agg(F.count("*").alias("n"))
+    """Every text once to a judge that fails on some: answers and failures side by side."""
+    docs = table(spark, folder, "documents", True).where("text is not null").select(F.lit("").alias("path"), "text")
+    requests = pipeline.as_requests(docs, F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))), "half")
+    asked = pipeline.answered(requests.select("path", "cache_key", "model", "messages"), HalfJudge(), SearchConfig(cache_mode="none"), None)
+    kinds = pipeline.failures(asked).select("kind").unionByName(asked.where("answer is not null").select(F.lit("answered").alias("kind")))
+    return kinds.groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("SELECT CAST(i AS INTEGER) AS attempt, CAST(power(2, i) AS BIGINT) AS wait FROM range(10) t(i)")
+@query("""SELECT path, kind, attempt, CAST(power(2, attempt) AS BIGINT) AS wait FROM (SELECT path, kind, CAST((row_number() OVER (PARTITION BY path, kind ORDER BY failed_at) - 1) % 10 AS INTEGER) AS attempt
+    FROM (SELECT DISTINCT path, kind, failed_at FROM errors))""")
 def retry_schedule(spark: SparkSession, folder: str) -> DataFrame:
-    from ..config import ATTEMPTS
-    from ..operators.judge import wait_for
-
-    return spark.createDataFrame([(k, int(wait_for(k))) for k in range(ATTEMPTS)], "attempt int, wait bigint")
+    """The waits, had the failed calls of a path been the attempts at one call."""
+    failed = table(spark, folder, "errors").select("path", "kind", "failed_at").distinct()
+    attempt = (F.row_number().over(Window.partitionBy("path", "kind").orderBy("failed_at")) - 1) % ATTEMPTS
+    return failed.select("path", "kind", attempt.alias("attempt")).withColumn("wait", waits(F.col("attempt")).cast("bigint"))
 
 
 # ---------------------------------------------------------------- semantic stages, with the lexical judge
@@ -376,15 +471,12 @@ _TERMS = terms(QUESTION)
 _COUNTS = " OR ".join(f"contains(lower({{0}}), '{t}')" for t in _TERMS)
 
 
-@query(f"SELECT DISTINCT file_path AS path FROM source_text WHERE text IS NOT NULL AND NOT coalesce(lower(regexp_extract(file_path, '[^/.](\\.[^./]+)$', 1)) IN ('.java', '.py', '.cs'), false) AND ({_COUNTS.format('text')})")
+@query(f"SELECT DISTINCT file_path AS path FROM source_text WHERE file_path IS NOT NULL AND text IS NOT NULL AND NOT coalesce(lower(regexp_extract(file_path, '[^/.](\\.[^./]+)$', 1)) IN ('.java', '.py', '.cs'), false) AND ({_COUNTS.format('text')})")
 def semantic_filter_lexical(spark: SparkSession, folder: str) -> DataFrame:
-    """The filter stage over files without an outline, as their own outline, so that SQL can state it."""
-    files = table(spark, folder, "source_text").where(~X.parseable(F.col("file_path")) & F.col("text").isNotNull()).select(F.col("file_path").alias("path"), "text")
-    counted = F.lit(False)
-    for t in _TERMS:
-        counted = counted | F.contains(F.lower("text"), F.lit(t))
-    answers = files.select("path", F.when(counted, F.col("path")).otherwise("none").alias("answer"), F.xxhash64("path", "text").alias("group_id"))
-    return survivors(answers.select("group_id", "answer"), answers.select("group_id", "path").distinct(), "group_id").select("path").distinct()
+    """The filter stage, asking the judge over each file without a scanner as its own outline and batch, so that SQL can state it."""
+    files = table(spark, folder, "source_text", True).where(~X.parseable(F.col("file_path")) & F.col("text").isNotNull() & F.col("file_path").isNotNull())
+    groups = files.select(F.col("file_id").alias("group_id"), F.col("file_path").alias("path"), "text")
+    return pipeline.sifted(groups, QUESTION, SearchConfig(cache_mode="none"), LexicalJudge())[0]
 
 
 @query(f"""SELECT doc_id, md5(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE {_COUNTS.format('line')}), 'nothing relevant')) AS answer_md5
@@ -392,19 +484,19 @@ def semantic_filter_lexical(spark: SparkSession, folder: str) -> DataFrame:
     GROUP BY doc_id""")
 def semantic_map_lexical(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", True).where("text is not null").select(F.col("doc_id").cast("string").alias("path"), F.col("text"))
-    requests = pipeline._requests(docs, prompts.map_messages(F.col("path"), F.col("text"), QUESTION), "lexical")
+    requests = pipeline.as_requests(docs, prompts.map_messages(F.col("path"), F.col("text"), QUESTION), "lexical")
     asked = pipeline.answered(requests.select("path", "cache_key", "model", "messages"), LexicalJudge(), SearchConfig(cache_mode="none", concurrency=64), None)
     return asked.select(F.col("path").cast("bigint").alias("doc_id"), F.md5("answer").alias("answer_md5"))
 
 
-@query("""WITH l AS (SELECT DISTINCT source, unnest(string_split(response, chr(10))) AS line FROM responses WHERE source IS NOT NULL),
-    k AS (SELECT source, line FROM l WHERE regexp_matches(line, '[^ \\t\\n\\x0B\\f\\r]') AND length(line) <= 60)
-    SELECT source, md5(substring(string_agg(line, chr(10) ORDER BY line), 1, 50000) || chr(10) || chr(10) || substring(string_agg(line, chr(10) ORDER BY line), 1, 50000)) AS both_md5 FROM k GROUP BY source""")
+@query(rf"""SELECT doc_id, md5(once || chr(10) || chr(10) || once) AS both_md5 FROM (
+    SELECT doc_id, coalesce(string_agg(DISTINCT line, chr(10) ORDER BY line) FILTER (WHERE regexp_replace(line, '{_BLANKS}+', '', 'g') <> '' AND NOT regexp_matches(line, '^<<< .+ >>>$')), 'nothing relevant') AS once
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL) GROUP BY doc_id)""")
 def semantic_reduce_two_pass(spark: SparkSession, folder: str) -> DataFrame:
-    """Only as much of a reduction as SQL can state: short lines, named writers, a cut, no judge. semantic_condense_notes runs the whole stage."""
-    lines = table(spark, folder, "responses").where("source is not null").select("source", F.explode(F.split("response", "\n")).alias("line")).where(F.col("line").rlike(r"\S") & (F.length("line") <= 60)).distinct()
-    first = sorted_concat(lines, "source", "line", 50_000, "\n")
-    return first.select("source", F.md5(F.concat_ws("\n\n", "line", "line")).alias("both_md5"))
+    """The reduce stage with its two calls over every document as a group; semantic_condense_notes packs the groups first."""
+    docs = table(spark, folder, "documents", True).where("text is not null").select(F.col("doc_id").alias("group_id"), F.lit("note").alias("path"), "text")
+    both = pipeline.condensed(docs, QUESTION, SearchConfig(cache_mode="none"), LexicalJudge())[0]
+    return both.select(F.col("group_id").alias("doc_id"), F.md5("context").alias("both_md5"))
 
 
 @query()
@@ -419,7 +511,7 @@ def semantic_condense_notes(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT file_id, md5('File: ' || file_path || chr(10) || text) AS shown_md5 FROM source_text WHERE text IS NOT NULL AND file_path IS NOT NULL")
 def no_refine_render(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "source_text").where("text is not null and file_path is not null")
-    return rows.select("file_id", F.md5(F.format_string("File: %s\n%s", "file_path", "text")).alias("shown_md5"))
+    return rows.select("file_id", F.md5(pipeline.shown_finding(F.col("file_path"), F.col("text"))).alias("shown_md5"))
 
 
 def _search(spark: SparkSession, folder: str, **changes) -> DataFrame:
@@ -438,19 +530,27 @@ def search_no_outlines(spark: SparkSession, folder: str) -> DataFrame:
     return _search(spark, folder, analyze_skeletons=False, refine=False)
 
 
+_OTHER = r"NOT coalesce(lower(regexp_extract(file_path, '[^/.](\.[^./]+)$', 1)) IN ('.java', '.py', '.cs'), false)"
+
+
+@query(rf"""WITH l AS (SELECT file_id, file_path AS path, generate_subscripts(x, 1) AS k, unnest(x) AS line FROM (SELECT file_id, file_path, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS x FROM source_text WHERE text IS NOT NULL AND {_OTHER})),
+    a AS (SELECT DISTINCT path, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT regexp_matches(line, '^<<< .+ >>>$') AND ({_COUNTS.format('line')})), 'nothing relevant') AS answer FROM l GROUP BY file_id, path)
+    SELECT path, md5('File: ' || path || chr(10) || substring(string_agg(answer, chr(10) || chr(10) ORDER BY answer), 1, 2000000)) AS context_md5 FROM a GROUP BY path""")
+def search_other_files(spark: SparkSession, folder: str) -> DataFrame:
+    """A whole search without outlines and refinement over all files that have no scanner, whose chunks SQL can state."""
+    files = as_files(table(spark, folder, "source_text", True)).where("not parseable")
+    found = pipeline.search(files, QUESTION, LexicalJudge(), SearchConfig(cache_mode="none", analyze_skeletons=False, refine=False)).contexts
+    return found.select("path", F.md5("context").alias("context_md5"))
+
+
 @query()
 def stream_of_batches(spark: SparkSession, folder: str) -> DataFrame:
     """The responses as a stream, each micro-batch upserted into a cache; the cache after the last."""
-    from ..functions.arrow import shared_path
-
     rows = table(spark, folder, "responses")
     sink, checkpoint = shared_path(spark, "stream-cache"), shared_path(spark, "stream-checkpoint")
     source = spark.readStream.schema(rows.schema).parquet(f"{folder}/responses.parquet*")
 
-    def one(batch: DataFrame, number: int) -> None:
-        caching.last_wins(batch.select("cache_key", "response", "ts", "seq")).write.mode("overwrite").parquet(f"{sink}/batch={number}")
-
-    source.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    search_stream(source, lambda batch: caching.last_wins(batch.select("cache_key", "response", "ts", "seq")), sink, checkpoint).awaitTermination()
     return caching.last_wins(spark.read.parquet(sink).select("cache_key", "response", "ts", "seq")).select("cache_key", "seq")
 
 

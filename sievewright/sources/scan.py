@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrow import arrow_map
 from ..functions.text import parseable, universal_newlines
 
 
@@ -50,3 +53,29 @@ def write_text(df: DataFrame, path: str, column: str = "text") -> None:
 def write_errors(errors: DataFrame, path: str) -> None:
     """Errors as JSON lines; prompts are never among them."""
     errors.select("kind", "message", "path", "cause").write.mode("append").json(path)
+
+
+LISTED = "path string, ord bigint, text string, problem string"
+
+
+def read_listed(paths: DataFrame) -> DataFrame:
+    """Reads the files of a list (path, ord) where the tasks run, in LISTED's columns: text with uniform line ends, or what is wrong
+    with the path: missing, or unreadable. No path is looked at by the driver, and none ends the run. The files must be
+    within the workers' reach; a path may be an address such as hdfs://."""
+
+    def per_batch(c: dict[str, list]) -> Iterator[tuple]:
+        from pyarrow import fs
+
+        for path, ord_ in zip(c["path"], c["ord"]):
+            try:
+                system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+                if system.get_file_info(inner).type != fs.FileType.File:
+                    yield path, ord_, None, "missing"
+                    continue
+                with system.open_input_stream(inner) as f:
+                    text = f.read().decode()
+                yield path, ord_, text.replace("\r\n", "\n").replace("\r", "\n"), None
+            except (OSError, ValueError) as e:
+                yield path, ord_, None, f"unreadable: {type(e).__name__}: {e}"
+
+    return arrow_map(paths.select("path", "ord"), per_batch, LISTED)

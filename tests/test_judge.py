@@ -50,5 +50,5 @@ def test_configuration():
 
 def test_lexical():
     j = LexicalJudge()
-    ask_filter = [{"role": "system", "content": "filter\nx"}, {"role": "user", "content": "### a.py\nclass Session\n\n### b.py\nclass Other\n\n"}, {"role": "user", "content": "q:\n```\nwhere is the session?\n```"}]
+    ask_filter = [{"role": "system", "content": "filter\nx"}, {"role": "user", "content": "<<< a.py >>>\nclass Session\n\n<<< b.py >>>\nclass Other\n\n"}, {"role": "user", "content": "q:\n```\nwhere is the session?\n```"}]
     assert j.ask(ask_filter, "") == "a.py"

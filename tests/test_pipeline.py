@@ -120,15 +120,21 @@ def test_stream_and_sources(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "text")).count() == 1 and spark.read.json(str(tmp_path / "errors")).first()["kind"] == "timeout"
 
 
-def test_command_line(tmp_path, capsys, spark):
+def test_command_line(tmp_path, capsys, spark, monkeypatch):
     from sievewright.cli import main
 
+    monkeypatch.setenv("SIEVEWRIGHT_CACHE_DIR", str(tmp_path / "cache"))
     f = tmp_path / "a.py"
     f.write_text(FILES[0][2])
     assert main(["tokens", str(f)]) == 0 and str(f) in capsys.readouterr().out
     assert main(["outline", str(f)]) == 0 and "{...}" in capsys.readouterr().out
     assert main([QUESTION], [str(tmp_path / "none")]) == 1
-    assert main([QUESTION, "--no-refine", "--concurrency", "2"], [str(f)]) == 0 and "class Session" in capsys.readouterr().out
+    capsys.readouterr()
+    (tmp_path / "bad.py").write_bytes(b"\xff\xfe\xff")
+    assert main([QUESTION, "--no-refine", "--concurrency", "2"], [str(f), str(tmp_path / "none"), str(tmp_path / "bad.py")]) == 0
+    shown = capsys.readouterr()
+    assert "class Session" in shown.out and "none is not a file" in shown.err and "unreadable" in shown.err and "lines received" in shown.err
+    assert Cache(spark, str(tmp_path / "cache")).rows().count() == 2  # by default answers are kept
 
 
 def test_condensing_of_all_notes(spark, tmp_path):
@@ -170,3 +176,79 @@ def test_captures_not_within_equal_brute_force(spark, tmp_path):
         want += [(i, *b, k, None) for k, b in enumerate(sorted(left, key=lambda b: (b[1], b[2], b[0])), 1)]
     got = QUERIES["captures_not_within"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == sorted(want) and {r["file_id"] for r in got} == {1, 2, 3} and len(got) < 9
+
+
+def test_answers_are_kept_though_the_stage_fails(spark, tmp_path, monkeypatch):
+    from sievewright.operators import judge as judging
+    from sievewright.plans import pipeline
+
+    class Dying(LexicalJudge):
+        def ask(self, messages, model):
+            if messages[0]["content"] == "die":
+                raise SystemExit("the worker is lost")
+            return "kept"
+
+    store = Cache(spark, str(tmp_path / "cache"))
+    rows = spark.createDataFrame([(str(k), "m", [("user", "die" if k == 99 else f"q{k}")], "p") for k in range(100)], "cache_key string, model string, messages array<struct<role:string,content:string>>, path string")
+    monkeypatch.setattr(judging, "STORE_ROWS", 10)
+    with pytest.raises(Exception):  # noqa: B017
+        pipeline.answered(rows.coalesce(1), Dying(), config(), store)
+    assert store.rows().count() >= 50
+    good = pipeline.answered(rows.where("cache_key <> '99'"), Dying(), config(), store)
+    assert good.where("answer = 'kept'").count() == 99 and good.where("from_cache").count() >= 50
+
+
+def test_a_delete_that_was_broken_off(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    Cache(spark, path).upsert(spark.createDataFrame([("a", "1"), ("b", "2")], "cache_key string, response string"))
+    (tmp_path / "cache").rename(tmp_path / "cache-before")
+    store = Cache(spark, path)
+    assert store.rows().count() == 2
+    store.delete(spark.createDataFrame([("a",)], "cache_key string"))
+    assert [r["cache_key"] for r in store.rows().collect()] == ["b"] and not (tmp_path / "cache-before").exists()
+
+
+def test_the_newest_version_of_a_path(spark):
+    files = [("a.py", 5, "class Session:\n    pass\n", True), ("a.py", 9, "class Other:\n    pass\n", True), ("a.py", 1, "class Session2:\n    pass\n", True)]
+    out = search(spark.createDataFrame(files, SCHEMA).repartition(3), QUESTION, LexicalJudge(), config(refine=False))
+    assert out.contexts.count() == 0
+    files[1] = ("a.py", 9, "class SessionNow:\n    pass\n", True)
+    (row,) = search(spark.createDataFrame(files, SCHEMA).repartition(3), QUESTION, LexicalJudge(), config(refine=False)).contexts.collect()
+    assert "SessionNow" in row["context"]
+
+
+def test_warnings_and_a_tokenizer(spark):
+    import os
+
+    file = "/opt/tokenizers/byte_bpe_50k.json"
+    text = "The session is opened here. " * 40 + "\n"
+    files = spark.createDataFrame([("c.md", 0, text * 3, False), ("d.md", 1, "The session.", False)], SCHEMA)
+    out = search(files, QUESTION, LexicalJudge(), config(refine=False, input_tokens=100))
+    assert {r["path"] for r in out.warnings.collect()} == {"c.md"}
+    assert max(len(r["context"]) for r in out.contexts.collect()) <= len("File: c.md\n") + 400
+    if os.path.exists(file):
+        from sievewright.functions.tokens import BpeCounter
+
+        by_token = search(files, QUESTION, LexicalJudge(), config(refine=False, input_tokens=100, tokenizer=file))
+        assert {r["path"] for r in by_token.warnings.collect()} == {"c.md"}
+        counter = BpeCounter(spark, file)
+        cut = counter.cut(F.col("t"), 7)
+        (row,) = spark.createDataFrame([(text,)], "t string").select(counter.count(F.col("t")).alias("n"), cut.alias("c"), counter.count(cut).alias("m")).collect()
+        assert row["m"] == 7 < row["n"] and text.startswith(row["c"])
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    from sievewright.functions import arrow
+
+    class Remote:
+        master = "spark://somewhere:7077"
+
+        def getConf(self):  # noqa: N802
+            return {}
+
+    class Session:
+        conf = {}
+        sparkContext = Remote()  # noqa: N815
+
+    with pytest.raises(RuntimeError):
+        arrow.shared_path(Session(), "x")
