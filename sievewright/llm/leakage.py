@@ -1,9 +1,9 @@
 """Problem 7: evaluation items whose wording appears in training documents.
 
 Method: winnowing. Every K words make a hash; of each WINDOW neighbouring hashes the least is kept, on both sides, so
-that every run of K + WINDOW - 1 equal words shares a fingerprint. Documents' fingerprints are joined with the items'
-map side (the items' index has a checked size; more items than that go in blocks, each against all documents), and each
-hit is extended word by word over changed, added and missing words.
+that every run of K + WINDOW - 1 equal words shares a fingerprint. Documents' fingerprints are joined with the items', map side
+while the items' index has a size that may be sent, by a shuffle of fingerprints beyond it, and each hit is extended word by
+word over changed, added and missing words.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import arrow_map
+from .base import arrow_map, materialize
 
 K, WINDOW = 4, 2
 #: Words of a stretch that gives an item away, and how many words there may be to each change: "about one in eight" is read as no more than one in six.
@@ -25,8 +25,8 @@ LEAST_WORDS, WORDS_PER_CHANGE = 20, 6
 SHARED_RUN, SHARED_ITEMS, SHARED_SHARE = 10, 6, 0.01
 #: Words before such an end, and of an item's opening, by which wordings differ.
 CONTEXT, OPENING = 3, 6
-#: Words of items that one block's index may hold.
-BLOCK_WORDS = 2_000_000
+#: Words of items whose index may be sent to every worker.
+INDEX_WORDS = 2_000_000
 
 #: Signs of scripts that are written without blanks are words by themselves.
 _WORD = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]|[^\W_\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]+")
@@ -143,9 +143,10 @@ class Index:
                 _, words_i, own = self.items[item]
                 a, n, changes, run = stretch(docs[doc], d, words_i, own, q)
                 done.update(run)  # a hit in the same run of equal words gives the same stretch
-                if n >= LEAST_WORDS and ((doc, item) not in best or n > best[doc, item][1]):
-                    best[doc, item] = a, n, changes
-        return [(doc, self.items[item][0], a, n, changes) for (doc, item), (a, n, changes) in best.items()]
+                item_id = self.items[item][0]
+                if n >= LEAST_WORDS and ((doc, item_id) not in best or n > best[doc, item_id][1]):
+                    best[doc, item_id] = a, n, changes
+        return [(doc, item_id, *x) for (doc, item_id), x in best.items()]
 
 
 def _grow(doc: np.ndarray, d: int, item: list[int], own: list[bool], q: int, step: int, before: int) -> list[tuple[int, int, int, int]]:
@@ -284,30 +285,67 @@ def shared_runs(items: DataFrame) -> np.ndarray:
 def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """One row for each document and each item it gives away, in LEAKS' columns, with the longest stretch.
 
-    The items are the stated query set; their standing instructions don't count, by suite where items have that column. Null, empty and short texts give no rows on
-    either side; copies of a document or an item count by their own ids; an empty table gives no rows; other columns are not
-    looked at. Documents are read once for each BLOCK_WORDS words of items, and no document is shuffled."""
+    The items are the stated query set; their standing instructions don't count, by suite where items have that column. Null,
+    empty and short texts give no rows on either side; copies of a document or an item count by their own ids; an empty table
+    gives no rows; other columns are not looked at. Documents are read once and not shuffled while the items have no more than
+    INDEX_WORDS words; with more of them fingerprints are shuffled, and the texts of documents that share one with an item."""
     suite = ["suite"] if "suite" in items.columns else []
     items = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text", *suite).where("item_id is not null and text is not null")
     size = items.select(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-size // (4 * BLOCK_WORDS)))
     shared = shared_runs(items)
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("text").isNotNull())
-    found = None
-    for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        index = Index([(r["item_id"], hashes(r["text"])) for r in part.toLocalIterator()], shared)
-        sent = documents.sparkSession.sparkContext.broadcast(index)
+    if size > 4 * INDEX_WORDS:
+        return _by_shuffle(rows, items, shared)
+    index = Index([(r["item_id"], hashes(r["text"])) for r in items.toLocalIterator()], shared)  # INDEX_WORDS words at most
+    sent = documents.sparkSession.sparkContext.broadcast(index)
 
-        def setup(sent=sent):
-            index = sent.value
+    def setup():
+        index = sent.value
 
-            def per_batch(c: dict[str, list]) -> Iterator[tuple]:
-                for doc, item, first, n, changes in index.search([hashes(t) for t in c["text"]]):
-                    yield item, c["doc_id"][doc], first, n, changes
+        def per_batch(c: dict[str, list]) -> Iterator[tuple]:
+            for doc, item, first, n, changes in index.search([hashes(t) for t in c["text"]]):
+                yield item, c["doc_id"][doc], first, n, changes
 
-            return per_batch
+        return per_batch
 
-        one = arrow_map(rows, None, LEAKS, setup)
-        found = one if found is None else found.unionByName(one)
-    return found
+    return arrow_map(rows, None, LEAKS, setup)
+
+
+def _prints(text: str) -> list[int]:
+    g = grams(hashes(text), K)
+    return np.unique(g[winnow(g)]).view(np.int64).tolist()
+
+
+def _by_shuffle(rows: DataFrame, items: DataFrame, shared: np.ndarray) -> DataFrame:
+    """The same for items of any number: distinct pairs of a text and an item that share a fingerprint meet by it, and each pair is
+    extended. Equal texts are looked at once. Hot fingerprints are left to the planner, which splits them."""
+    rows = rows.withColumn("k", F.md5("text"))
+    items = items.select("item_id", "text").distinct()
+
+    def of_documents(c: dict[str, list]) -> Iterator[tuple]:
+        for k, text in zip(c["k"], c["text"]):
+            for x in _prints(text):
+                yield x, k
+
+    def of_items(c: dict[str, list]) -> Iterator[tuple]:
+        for i, text in zip(c["item_id"], c["text"]):
+            for x in _prints(text):
+                yield x, i
+
+    mine = arrow_map(rows.select("k", "text"), of_documents, "print bigint, k string")
+    theirs = arrow_map(items, of_items, "print bigint, item_id bigint").distinct()
+    pairs = materialize(mine.join(theirs, "print").select("k", "item_id").distinct(), "leak-candidates")
+    texts = rows.select("k", "text").join(pairs.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"])
+    both = pairs.join(texts, "k").join(items.withColumnRenamed("text", "item"), "item_id")
+
+    def extend(c: dict[str, list]) -> Iterator[tuple]:
+        known: dict[tuple[int, str], Index] = {}
+        for k, text, i, item in zip(c["k"], c["text"], c["item_id"], c["item"]):
+            if (i, item) not in known:
+                known[i, item] = Index([(i, hashes(item))], shared)
+            for _, _, first, n, changes in known[i, item].search([hashes(text)]):
+                yield i, k, first, n, changes
+
+    found = arrow_map(both.select("k", "text", "item_id", "item"), extend, "item_id bigint, k string, first_word int, n_words int, n_changes int")
+    found = found.groupBy("item_id", "k").agg(F.max_by(F.struct("first_word", "n_words", "n_changes"), F.struct("n_words", "first_word")).alias("x")).select("item_id", "k", "x.*")
+    return rows.select("doc_id", "k").join(found, "k").select("item_id", "doc_id", "first_word", "n_words", "n_changes")

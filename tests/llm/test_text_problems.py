@@ -146,12 +146,17 @@ def test_leaks_over_wider_gaps(spark):
     assert {r["doc_id"]: (r["n_words"], r["n_changes"]) for r in got.collect()} == {1: (38, 4), 2: (42, 4), 3: (42, 4), 4: (33, 4), 6: (24, 0), 7: (90, 0), 8: (130, 0)}
 
 
-def test_blocks_of_items_give_the_same(spark, monkeypatch):
-    items = spark.createDataFrame([(i, " ".join(f"a{i}b{j}" for j in range(30))) for i in range(20)], "item_id long, text string")
-    docs = spark.createDataFrame([(100 + i, " ".join(f"a{i}b{j}" for j in range(25))) for i in range(20)], "doc_id long, text string")
-    one = sorted(leakage.find_leaks(docs, items).select("item_id", "doc_id").collect())
-    monkeypatch.setattr(leakage, "BLOCK_WORDS", 300)
-    assert sorted(leakage.find_leaks(docs, items).select("item_id", "doc_id").collect()) == one and len(one) == 20
+def test_more_items_than_are_sent_give_the_same(spark, monkeypatch):
+    random.seed(9)
+    standing = [f"s{j}" for j in range(12)]
+    texts = [[f"a{i}b{j}" for j in range(40)] for i in range(200)]
+    items = spark.createDataFrame([(i, " ".join(t + standing)) for i, t in enumerate(texts)] + [(500, " ".join(texts[3]))], "item_id long, text string")
+    docs = [(1000 + i, " ".join(["x"] * (i % 7) + t[: 15 + i % 20] + ["y"] * (i % 3) + t[15 + i % 20 + i % 3 :])) for i, t in enumerate(texts)]
+    docs += [(2000, docs[5][1]), (2001, " ".join(standing * 3)), (2002, ""), (2003, None), (2004, docs[3][1] + " " + docs[4][1])]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    one = sorted(leakage.find_leaks(docs, items).collect())
+    monkeypatch.setattr(leakage, "INDEX_WORDS", 300)
+    assert sorted(leakage.find_leaks(docs, items).collect()) == one and len(one) >= 204
 
 
 # ---------------------------------------------------------------- 4: credentials
