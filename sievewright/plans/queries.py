@@ -211,7 +211,7 @@ def chunk_render(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY k) - 1 AS INTEGER) AS chunk_no, first, n FROM (
-    WITH RECURSIVE lines AS (SELECT file_id, generate_subscripts(l, 1) AS k, (length(unnest(l)) + 3) // 4 AS t FROM (SELECT file_id, string_split(regexp_replace(text, '\\\\r\\\\n?', chr(10), 'g'), chr(10)) AS l FROM source_text WHERE text IS NOT NULL)),
+    WITH RECURSIVE lines AS (SELECT file_id, generate_subscripts(l, 1) AS k, (length(unnest(l)) + 3) // 4 AS t FROM (SELECT file_id, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) AS l FROM source_text WHERE text IS NOT NULL)),
     fit AS (SELECT file_id, k, least(t, 200) AS held, k AS first FROM lines WHERE k = 1
     UNION ALL SELECT s.file_id, s.k, CASE WHEN f.held + least(s.t, 200) > 200 THEN least(s.t, 200) ELSE f.held + least(s.t, 200) END, CASE WHEN f.held + least(s.t, 200) > 200 THEN s.k ELSE f.first END FROM fit f JOIN lines s ON s.file_id = f.file_id AND s.k = f.k + 1)
     SELECT file_id, min(k) AS k, CAST(first - 1 AS INTEGER) AS first, count(*) AS n FROM fit GROUP BY file_id, first)""")
